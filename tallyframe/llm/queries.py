@@ -12,6 +12,7 @@ from .common import table
 from .decontam import report
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .minhash import classes
 from .packing import pack
 from .sstable import read_shards, write_shards
 from .url_filter import glob_rule, host_rule, judge
@@ -55,6 +56,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_shards": op8_token_shards,
     "op9_decontaminate": op9_decontaminate,
+    "op10_minhash": op10_minhash,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
