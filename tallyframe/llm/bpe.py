@@ -2,8 +2,8 @@
 
 A byte-level BPE never merges across pre-token boundaries, so a text's ids are
 the ids of its pre-tokens one after another.  Pre-tokens repeat, so each worker
-keeps a bounded table from pre-token to packed ids and asks the library only
-for those not in it.  Texts outside the range where pre-token rules are beyond
+keeps a bounded table from pre-token to packed ids and asks the library's
+model only for those not in it.  Texts outside the range where pre-token rules are beyond
 doubt (special strings, scripts past U+058F) go to the library whole.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
 import regex
 
 #: Fixed value: the byte-level pre-token pattern of the 50k vocabularies.
@@ -20,6 +21,28 @@ PLAIN_ONLY = re.compile("[^\x00-֏]")
 TABLE_LIMIT = 300_000
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+class PieceTable(dict):
+    """Packed ids of pre-tokens; the library's model is asked on first sight."""
+
+    def __init__(self, model, pack):
+        super().__init__()
+        self.model, self.pack, self.letters = model, pack, byte_alphabet()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= TABLE_LIMIT:
+            self.clear()
+        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        self[piece] = found = self.pack([t.id for t in self.model.tokenize(spelled)])
+        return found
+
+
 class Encoder:
     """Ids as little-endian bytes, two bytes an id where the vocabulary allows."""
 
@@ -33,10 +56,10 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(PATTERN).findall
-        self.table: dict[str, bytes] = {}
+        self.table = PieceTable(self.tokenizer.model, self.pack)
 
     def pack(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        return np.array(ids, f"<u{self.width}").tobytes() if len(ids) > 8 else b"".join([i.to_bytes(self.width, "little") for i in ids])
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -44,25 +67,14 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; a null counts as empty."""
         out: list[bytes] = []
-        table = self.table
+        ids_of = self.table.__getitem__
         for text in texts:
             if not text:
                 out.append(b"")
-                continue
-            if PLAIN_ONLY.search(text) or any(s in text for s in self.special):
+            elif PLAIN_ONLY.search(text) or any(s in text for s in self.special):
                 out.append(self.whole(text))
-                continue
-            pieces = self.find(text)
-            missing = list(set(pieces).difference(table))
-            if missing:
-                if len(table) + len(missing) > TABLE_LIMIT:
-                    table.clear()
-                    missing = list(set(pieces))
-                for piece, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                    table[piece] = self.pack(found.ids)
-            out.append(b"".join(map(table.__getitem__, pieces)))
-            if len(table) > TABLE_LIMIT:
-                table.clear()
+            else:
+                out.append(b"".join(map(ids_of, self.find(text))))
         return out
 
 

@@ -15,6 +15,7 @@ from .line_dedup import line_dedup
 from .minhash import classes
 from .packing import pack
 from .sstable import read_shards, write_shards
+from .substring_dedup import substring_dedup
 from .url_filter import glob_rule, host_rule, judge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +41,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), [*URL_RULES, *URL_GLOBS]).select("page_id", "host", "path", "rule", "verdict")
 
@@ -63,6 +68,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_shards": op8_token_shards,
