@@ -16,6 +16,7 @@ from .minhash import classes
 from .packing import pack
 from .sstable import read_shards, write_shards
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
 from .url_filter import glob_rule, host_rule, judge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
@@ -68,6 +73,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op4_token_counts": op4_token_counts,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_exact_dedup": op7_exact_dedup,
