@@ -4,7 +4,7 @@ A byte-level BPE never merges across pre-token boundaries, so a text's ids are
 the ids of its pre-tokens one after another.  Pre-tokens repeat, so each worker
 keeps a bounded table from pre-token to packed ids and asks the library's
 model only for those not in it.  Texts outside the range where pre-token rules are beyond
-doubt (special strings, scripts past U+058F) go to the library whole.
+doubt (special strings, rare controls, scripts past U+058E) go to the library whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import regex
 
 #: Fixed value: the byte-level pre-token pattern of the 50k vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PLAIN_ONLY = re.compile("[^\x00-֏]")
+PLAIN_ONLY = re.compile("[^\x00-\x1b\x20-\x84\x86-\u058e]")
 TABLE_LIMIT = 300_000
 
 
