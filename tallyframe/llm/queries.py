@@ -17,6 +17,7 @@ from .packing import pack
 from .sstable import read_shards, write_shards
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
+from .toxicity import fit, score
 from .url_filter import glob_rule, host_rule, judge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False).drop("ids")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -73,6 +79,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_url_filter": op6_url_filter,
