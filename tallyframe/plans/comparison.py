@@ -77,15 +77,15 @@ def _psi(ref: DataFrame, cur: DataFrame, keys: list[str], measures: list) -> Dat
 
     cell = Window.partitionBy(*keys, "f")
     epsilon = reduce(lambda a, x: a.when(F.col("f") == x[0], F.lit(x[1].epsilon)), measures, F.when(F.lit(False), F.lit(0.0)))
-    shares = counted.withColumn("R", F.sum("r").over(cell)).withColumn("C", F.sum("c").over(cell)).withColumn("eps", epsilon)
-    p = F.greatest(divide(F.col("r"), F.col("R")), F.col("eps"))
-    q = F.greatest(divide(F.col("c"), F.col("C")), F.col("eps"))
+    shares = counted.withColumn("r_all", F.sum("r").over(cell)).withColumn("c_all", F.sum("c").over(cell)).withColumn("eps", epsilon)
+    p = F.greatest(divide(F.col("r"), F.col("r_all")), F.col("eps"))
+    q = F.greatest(divide(F.col("c"), F.col("c_all")), F.col("eps"))
     clipped = shares.withColumn("p", p).withColumn("q", q).withColumn("g", F.ln("q") - F.ln("p"))
-    summed = clipped.groupBy(*keys, "f").agg(F.first("R").alias("R0"), F.first("C").alias("C0"), F.first("eps").alias("e0"), F.count(F.lit(1)).alias("n"), F.sum("p").alias("sp"), F.sum("q").alias("sq"), F.sum(F.col("q") * F.col("g")).alias("a"), F.sum(F.col("p") * F.col("g")).alias("b"))
+    summed = clipped.groupBy(*keys, "f").agg(F.first("r_all").alias("r_cell"), F.first("c_all").alias("c_cell"), F.first("eps").alias("e0"), F.count(F.lit(1)).alias("n"), F.sum("p").alias("sp"), F.sum("q").alias("sq"), F.sum(F.col("q") * F.col("g")).alias("a"), F.sum(F.col("p") * F.col("g")).alias("b"))
     rest = (F.col("k") - F.col("n")) * F.col("e0")
     value = divide(F.col("a"), F.col("sq") + rest) - divide(F.col("b"), F.col("sp") + rest)
     least = reduce(lambda a, x: a.when(F.col("f") == x[0], F.lit(x[1].min_samples)), measures, F.when(F.lit(False), F.lit(0)))
-    ok = (F.col("R0") >= least) & (F.col("C0") >= least)
+    ok = (F.col("r_cell") >= least) & (F.col("c_cell") >= least)
     bad = [i for i, good in usable.items() if not good]
     if bad:
         ok = ok & ~F.col("f").isin(bad)

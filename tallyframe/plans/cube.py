@@ -199,21 +199,20 @@ class Cube:
         wide = _aggregate(rows, keys, plan)
         for number, shared in enumerate(dict.fromkeys((c.rank[0], c.rank[1], c.rank[2]) for c in plan.measures if c.rank)):
             wide = _join_rank(wide, rows, keys, plan, shared, number)
-        values: dict[str, Column] = {}
         position = {c.name: i for i, c in enumerate(plan.measures)}
         at = {key: f"__a{i}" for i, key in enumerate(plan.aggregates)}
         ranks = list(dict.fromkeys((c.rank[0], c.rank[1], c.rank[2]) for c in plan.measures if c.rank))
 
-        def read(key: str) -> Column:
-            if key in position:
-                return F.col(f"__m{position[key]}")
+        def aggregate(key: str) -> Column:
             return F.col("__population") if key == "population" else F.col(at[key])
 
+        def measure(name: str) -> Column:
+            return F.col(f"__m{position[name]}")
+
         for i in plan.order:
             c = plan.measures[i]
-            made = F.col(f"__r{ranks.index(c.rank[:3])}_{c.rank[3]}") if c.rank else c.finish(read)
+            made = F.col(f"__r{ranks.index(c.rank[:3])}_{c.rank[3]}") if c.rank else c.finish(measure if c.needs else aggregate)
             wide = wide.withColumn(f"__m{i}", made)
-            values[c.name] = F.col(f"__m{i}")
         result = CubeResult(plan, wide, df.sparkSession, self.policy)
         if self.policy.on_invalid != "nan":
             bad = wide.agg(*[F.count_if(F.col(f"__m{i}").isNull()).alias(f"n{i}") for i in range(len(plan.measures))]).first()
