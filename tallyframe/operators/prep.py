@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -128,16 +129,12 @@ class ToDatetime(BasePrepStep):
         """The strftime format as a datetime pattern, literal letters quoted."""
         if self.format is None:
             return None
-        out, i = "", 0
-        while i < len(self.format):
-            two = self.format[i : i + 2]
-            if two in DIRECTIVES:
-                out, i = out + DIRECTIVES[two], i + 2
-            elif two[0] == "%":
-                raise DataPrepError(f"unknown directive {two}")
-            else:
-                out, i = out + (f"'{two[0]}'" if two[0].isalpha() else two[0]), i + 1
-        return out
+        out = []
+        for directive, letters, rest in re.findall(r"(%.?)|([A-Za-z]+)|([^%A-Za-z]+)", self.format):
+            if directive and directive not in DIRECTIVES:
+                raise DataPrepError(f"unknown directive {directive}")
+            out.append(DIRECTIVES[directive] if directive else f"'{letters}'" if letters else rest)
+        return "".join(out)
 
     def project(self, df):
         pattern, out = self.pattern(), {}
