@@ -171,7 +171,7 @@ RANKED = """h AS (SELECT {k}, s, sum(w) FILTER (WHERE t = 1) AS p0, sum(w) FILTE
 c AS (SELECT {k}, s, coalesce(p0, 0) AS p, coalesce(n0, 0) AS n,
   sum(coalesce(p0, 0)) OVER (PARTITION BY {k} ORDER BY s) AS cp, sum(coalesce(n0, 0)) OVER (PARTITION BY {k} ORDER BY s) AS cn,
   sum(coalesce(p0, 0)) OVER (PARTITION BY {k}) AS tp, sum(coalesce(n0, 0)) OVER (PARTITION BY {k}) AS tn FROM h),
-ranked AS (SELECT {k}, round(sum(p * (cn - n / 2)) / (max(tp) * max(tn)), 4) AS auc, round(max(abs(cp / tp - cn / tn)), 4) AS ks FROM c GROUP BY {k})"""
+ranked AS (SELECT {k}, round(sum(p * (cn - n / 2)) / nullif(max(tp) * max(tn), 0), 4) AS auc, round(max(abs(cp / nullif(tp, 0) - cn / nullif(tn, 0))), 4) AS ks FROM c GROUP BY {k})"""
 
 
 @query("cube_auc", f"WITH x AS (SELECT o_orderpriority, o_totalprice AS s, (o_orderstatus = 'F')::INT AS t, 1.0::DOUBLE AS w FROM orders), {RANKED.format(k='o_orderpriority')} SELECT o_orderpriority, auc, ks FROM ranked")
