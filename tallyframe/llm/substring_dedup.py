@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_sizes, ship
 from .words import U64, pieces, runs, words_of
 
-BLOCK_BYTES = 8 << 20
-GROUP_BYTES = 64 << 20
+BLOCK_BYTES = 4 << 20
+GROUP_BYTES = 32 << 20
 LEAST_RANGES = 256
 NULL_ID = -(1 << 63)
 BLOCKS = "block long, n_docs long, payload binary"
@@ -111,9 +111,12 @@ class Block:
         self.ids = rows.column(0).to_numpy()
         texts = rows.column(1)
         self.texts = texts.chunk(0) if texts.num_chunks else pa.array([], pa.large_string())
-        self.words = words_of(self.texts)
-        self.n = len(self.words.hash)
-        self.end = np.repeat(self.words.first[1:], np.diff(self.words.first))  # word index at which its text ends
+        parts = [words_of(part) for _, part in pieces(self.texts)]  # byte-wide arrays for a piece at a time
+        self.hash = np.concatenate([np.zeros(0, U64), *(p.hash for p in parts)])
+        sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(p.first) for p in parts)])
+        self.first = np.concatenate([[0], np.cumsum(sizes)])  # text i has words first[i] .. first[i + 1]
+        self.n = len(self.hash)
+        self.end = np.repeat(self.first[1:], sizes)  # word index at which its text ends
 
     def level(self, length: int, within: np.ndarray | None, bits: int) -> None:
         """Candidates of a level: ``within`` has the starts not ruled out below."""
@@ -123,8 +126,8 @@ class Block:
             half = length // 2
             fits &= within[: len(at)] & within[half : half + len(at)]
         self.at = at[fits]
-        keys = runs(self.words.hash, length)[fits] >> U64(64 - bits)
-        self.keys, self.first, self.which, self.count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        keys = runs(self.hash, length)[fits] >> U64(64 - bits)
+        self.keys, self.lead, self.which, self.count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
 
     def flags(self, answer: np.ndarray) -> np.ndarray:
         """Starts whose window occurs again, here or in another block."""
@@ -136,7 +139,7 @@ class Block:
         """Starts whose window starts earlier as well."""
         out = np.zeros(self.n, bool)
         own_first = np.zeros(len(self.at), bool)
-        own_first[self.first] = True
+        own_first[self.lead] = True
         out[self.at[~(own_first & first_here[self.which])]] = True
         return out
 
@@ -178,7 +181,7 @@ def _ask(lengths: list[int], level: int, bits: int, ranges: int):
                 _replay(block, [(a["level"], a["rng"], a["bits"]) for a in answers or ()], lengths, bits, level)
                 edges = np.searchsorted(block.keys, np.arange(ranges + 1, dtype=U64)[:-1] << U64(shift))
                 edges = np.append(edges, len(block.keys))
-                doc = np.searchsorted(block.words.first, block.at[block.first], "right") - 1
+                doc = np.searchsorted(block.first, block.at[block.lead], "right") - 1
                 ids = (block.ids[doc].astype(np.int64) ^ np.int64(NULL_ID)).view(U64) if last else None
                 full = np.flatnonzero(np.diff(edges))
                 slices = [(int(r), int(edges[r]), int(edges[r + 1])) for r in full]
@@ -231,7 +234,7 @@ def _remove(lengths: list[int], bits: int, with_text: bool):
                     np.add.at(change, starts, 1)
                     np.add.at(change, starts + lengths[last], -1)
                     gone = np.cumsum(change)[:-1] > 0
-                first, rows = block.words.first, []
+                first, rows = block.first, []
                 for i, text in enumerate(block.texts):
                     words = (text.as_py() or "").encode().split()
                     out = gone[first[i] : first[i + 1]]
@@ -258,7 +261,7 @@ def substring_dedup(docs: DataFrame, target: int = 20, text: str = "text", key:
     bits = min(64, max(32, words.bit_length() + 8))
     ranges = 1 << max(LEAST_RANGES.bit_length() - 1, int(words * 8 // GROUP_BYTES).bit_length())
     # a block is a few megabytes: one at a time
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     answers = None
 
     def answered() -> DataFrame:
