@@ -16,9 +16,10 @@ again from whole texts.  Documents with equal sets are one class, represented
 by their smallest id, so copies never pair up.  Each class first tests the
 bucket leader it meets most often; then, as far as a bucket still spans several
 components, pairs across components are tested: all of them in a bucket of up
-to ``SMALL`` classes, and in larger ones class by class against sixteen pivots
-a round, until every class has been a pivot or the bucket is one component.
-No bucket is ever expanded to all its pairs, and none is cut short.
+to ``SMALL`` classes.  Classes of larger ones are cut into blocks that carry
+their sets; blocks that share a bucket meet once, and a task returns a link for
+each pair of components it finds.  So no large bucket is expanded to pairs of
+rows, none is cut short, and no task holds more than two blocks.
 
 Null, empty and wordless texts have an empty set and link with nothing.  Rows
 sharing an id are one document.  A null id belongs to the class of its text, or
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,9 @@ from .components import components
 from .words import U64, Words, mix, pieces, runs, words_of
 
 SHINGLE, BANDS, ROWS = 5, 60, 6
-SMALL, PIVOTS = 64, 16
+SMALL, BLOCK, BLOCK_SHINGLES = 64, 256, 250_000
 EMPTY = U64(2**64 - 1)
+BLOCKS = "block long, nodes array<long>, comps array<long>, sizes array<long>, shingles binary"
 SKETCHED = "doc_id long, n_shingles long, setkey binary, bands array<long>"
 
 
@@ -117,6 +120,63 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def build_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of up to ``BLOCK`` classes and about ``BLOCK_SHINGLES`` shingles."""
+    pid, made, held, total = TaskContext.get().partitionId(), 0, [], 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal made, held, total
+        nodes, comps, sets = zip(*held, strict=True)
+        made, held, total = made + 1, [], 0
+        values = {"block": [(pid << 32) | made], "nodes": [list(nodes)], "comps": [list(comps)], "sizes": [[len(s) for s in sets]], "shingles": [np.concatenate(sets).tobytes()]}
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values.values(), kinds, strict=True)], names=list(values))
+
+    for batch in batches:
+        for lo, part in pieces(batch.column(2)):
+            sets = shingle_sets(words_of(part, lower=True))
+            for row in zip(batch.column(0).slice(lo, len(part)).to_pylist(), batch.column(1).slice(lo, len(part)).to_pylist(), sets, strict=True):
+                held.append(row)
+                total += len(row[2])
+                if len(held) >= BLOCK or total >= BLOCK_SHINGLES:
+                    yield flush()
+    if held:
+        yield flush()
+
+
+def compare_blocks(left: dict, right: dict, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """One link for each pair of components with similar enough sets in two blocks."""
+    one, two = (np.frombuffer(side["shingles"], U64) for side in (left, right))
+    size = [np.array(side["sizes"], np.int64) for side in (left, right)]
+    comp = [np.array(side["comps"], np.int64) for side in (left, right)]
+    node = [np.array(side["nodes"], np.int64) for side in (left, right)]
+    shared = np.intersect1d(one, two)
+    owner = [np.repeat(np.arange(len(n)), n) for n in size]
+    place = []
+    for values in (one, two):
+        at = np.searchsorted(shared, values)
+        hit = at < len(shared)
+        hit[hit] = shared[at[hit]] == values[hit]
+        place.append((hit, at))
+    both = np.zeros((len(size[0]), len(size[1])), np.float32)
+    for lo in range(0, len(shared), 8192):  # intersections are whole numbers, exact in float32
+        rows = []
+        for (hit, at), who, n in zip(place, owner, size, strict=True):
+            pick = hit & (at >= lo) & (at < lo + 8192)
+            dense = np.zeros((len(n), 8192), np.float32)
+            dense[who[pick], at[pick] - lo] = 1
+            rows.append(dense)
+        both += rows[0] @ rows[1].T
+    count = both.astype(np.int64)
+    union = size[0][:, None] + size[1][None, :] - count
+    good = (count > 0) & (100 * count >= percent * union) & (comp[0][:, None] != comp[1][None, :])
+    if same:
+        good = np.triu(good, 1)
+    i, j = np.nonzero(good)
+    _, lead = np.unique(np.stack([comp[0][i], comp[1][j]], axis=1), axis=0, return_index=True)
+    return node[0][i[lead]], node[1][j[lead]]
+
+
 class Clusters:
     """Candidate buckets, tested pairs and components, all as durable tables."""
 
@@ -147,42 +207,63 @@ class Clusters:
         with_b = with_a.join(self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         links = self.store.keep(linked(with_b, self.percent), f"links-{self.turn}")
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        self.labels = components(self.store, links, f"cc-{self.turn}", self.labels)
+        if self.labels is None or not links.isEmpty():
+            self.labels = components(self.store, links, f"cc-{self.turn}", self.labels)
 
-    def open_buckets(self) -> DataFrame:
-        """Rows ``hash, node, n, comp`` of buckets that span several components."""
-        rows = self.buckets.select("hash", "node", "n", "members").join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    def open_buckets(self, buckets: DataFrame) -> DataFrame:
+        """Rows ``hash, node, n, members, comp`` of buckets that span several components."""
+        rows = buckets.select("hash", "node", "n", "members").join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         spread = rows.groupBy("hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("hash")
         return rows.join(spread, "hash", "left_semi")
 
+    def test_small(self, open_: DataFrame) -> None:
+        """All pairs across components, in buckets of up to ``SMALL`` classes."""
+        one = open_.filter(F.col("members") <= SMALL)
+        two = one.select("hash", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+        self.test(one.select("hash", F.col("node").alias("a"), F.col("n").alias("n_a"), "comp").join(two, "hash").filter("a < b and comp <> comp_b"))
+
+    def test_blocks(self, crowded: DataFrame) -> None:
+        """All pairs across components in large buckets, block against block.
+
+        Classes are ordered by a bucket they share and cut into blocks of a
+        bounded size, which carry their full sets.  Two blocks meet once if any
+        bucket has classes in both; a task counts their intersections as a
+        matrix product and returns a link for each pair of components, so no
+        pair of classes ever becomes a row.
+        """
+        nodes = crowded.groupBy("node").agg(F.min("hash").alias("place"), F.min("comp").alias("comp"))
+        bodies = nodes.join(self.texts.select(F.col("node").alias("own"), "text"), F.col("node") == F.col("own")).select("node", "comp", "text", "place")
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // (8 * BLOCK)))
+        blocks = self.store.keep(bodies.repartitionByRange(parts, "place", "node").sortWithinPartitions("place", "node").mapInArrow(build_blocks, BLOCKS), "blocks")
+        home = blocks.select("block", F.explode("nodes").alias("member"))
+        met = crowded.join(home, F.col("node") == F.col("member")).select("hash", "block").distinct()
+        meetings = met.withColumnRenamed("block", "a").join(met.withColumnRenamed("block", "b"), "hash").filter("a <= b").select("a", "b").distinct()
+        meetings = self.store.keep(meetings, "meetings")
+        with_a = meetings.join(blocks.select(F.col("block").alias("a"), F.struct("nodes", "comps", "sizes", "shingles").alias("left")), "a")
+        with_b = with_a.join(blocks.select(F.col("block").alias("b"), F.struct("nodes", "comps", "sizes", "shingles").alias("right")), "b")
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    a, b = compare_blocks(row["left"], row["right"], row["a"] == row["b"], percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        links = self.store.keep(with_b.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "links-blocks")
+        if not links.isEmpty():
+            self.labels = components(self.store, links, "cc-blocks", self.labels)
+
     def run(self) -> DataFrame:
         """``node, comp`` of every class that has a link."""
         met = self.buckets.filter("leader < node").groupBy("node", "n", "leader").agg(F.count("*").alias("times"))
         first = met.groupBy("node", "n").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("leader"))
         sizes = self.buckets.select(F.col("node").alias("leader"), F.col("n").alias("n_b")).distinct()
         self.test(first.join(sizes, "leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_a"), "n_b"))
-
-        small = self.store.keep(self.open_buckets(), "open")
-        one = small.filter(F.col("members") <= SMALL)
-        two = one.select("hash", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-        self.test(one.select("hash", F.col("node").alias("a"), F.col("n").alias("n_a"), "comp").join(two, "hash").filter("a < b and comp <> comp_b"))
-
-        done = None
-        while True:
-            large = self.open_buckets().filter(F.col("members") > SMALL)
-            large = self.store.keep(large, f"large-{self.turn}")
-            rest = large if done is None else large.join(done, ["hash", "node"], "left_anti")
-            lane = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-            picks = rest.groupBy("hash").agg(*[F.min(F.when(lane == j, F.struct("node", "n", "comp"))).alias(f"p{j}") for j in range(PIVOTS)])
-            picks = picks.select("hash", F.explode(F.array(*[f"p{j}" for j in range(PIVOTS)])).alias("p")).filter("p is not null")
-            picks = self.store.keep(picks.select("hash", F.col("p.node").alias("a"), F.col("p.n").alias("n_a"), F.col("p.comp").alias("comp_a")), f"pivots-{self.turn}")
-            if picks.isEmpty():
-                return self.labels
-            others = large.select("hash", F.col("node").alias("b"), F.col("n").alias("n_b"), "comp")
-            across = others.join(picks, "hash").filter("a <> b and comp <> comp_a")
-            self.test(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b"))
-            picked = picks.select("hash", F.col("a").alias("node"))
-            done = picked if done is None else done.unionByName(picked)
+        self.test_small(self.store.keep(self.open_buckets(self.buckets), "open"))
+        crowded = self.store.keep(self.open_buckets(self.buckets.filter(F.col("members") > SMALL)), "crowded")
+        if not crowded.isEmpty():
+            self.test_blocks(crowded)
+        return self.labels
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -195,7 +276,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component; repeated ids keep one row."""
+    """``docs`` with one document of each component; rows sharing an id stay or go together."""
     found = classes(docs, text=text, key=key, **options)
     gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")

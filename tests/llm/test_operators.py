@@ -335,11 +335,11 @@ def test_minhash(docs, empty):
 
 
 def test_minhash_large_mixed_buckets(spark, monkeypatch):
-    """Buckets past the all-pairs size go through pivots and lose no link."""
+    """Buckets past the all-pairs size go through blocks and lose no link."""
     import random
 
     monkeypatch.setattr(minhash, "SMALL", 3)
-    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
     rng, rows = random.Random(8), []
     common = [f"c{j}" for j in range(40)]
     for g in range(6):
