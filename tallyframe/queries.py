@@ -666,7 +666,16 @@ def eval_log_loss(spark, sf_dir):
 @query("importance_ranks", "SELECT p_partkey, rank() OVER (ORDER BY p_retailprice DESC)::INT AS gain_rank, rank() OVER (ORDER BY p_size DESC)::INT AS split_rank FROM part WHERE p_partkey < 200")
 def importance(spark, sf_dir):
     df = read(spark, sf_dir, "part").filter("p_partkey < 200").select("p_partkey", F.col("p_retailprice").alias("gain"), F.col("p_size").alias("split"))
-    return importance_ranks(df).select("p_partkey", "gain_rank", "split_rank")
+    return ranked_parts(df)
+
+
+@query("importance_ranks_whole", "SELECT p_partkey, rank() OVER (ORDER BY p_retailprice DESC)::INT AS gain_rank, rank() OVER (ORDER BY p_size DESC)::INT AS split_rank FROM part")
+def importance_whole(spark, sf_dir):
+    return ranked_parts(read(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("gain"), F.col("p_size").alias("split")))
+
+
+def ranked_parts(df):
+    return importance_ranks(df).select("p_partkey", F.col("gain_rank").cast("int"), F.col("split_rank").cast("int"))
 
 
 def sample_registry(root: str, sf_dir: str, spark: SparkSession) -> Registry:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ExperimentError, RunError
+from ..operators.rank import score_slice
 
 STATUSES = ("running", "completed", "failed")
 RECORD = "run_id string, name string, label string, status string, started_at string, ended_at string, config map<string,string>, metrics map<string,map<string,double>>, result map<string,string>, error string"
@@ -201,5 +202,22 @@ class Registry:
 
 
 def importance_ranks(df: DataFrame, columns: Sequence[str] = ("gain", "split")) -> DataFrame:
-    """Rank of each importance, largest first, ties at the smaller rank."""
-    return df.withColumns({f"{c}_rank": F.rank().over(Window.orderBy(F.desc(c))) for c in columns})
+    """Rank of each importance, largest first, ties at the smaller rank, nulls last.
+
+    Distinct values are counted and only their running count is ordered, over
+    monotone slices of the range, so no column is sorted in one task.
+    """
+    out = df
+    for c in columns:
+        x = F.col("__v").cast("double")
+        # NaN is above infinity, which has the last slice; null is below all.
+        place = F.when(x.isNull(), F.lit(-(2**63))).when(F.isnan(x), F.lit(2**63 - 1)).otherwise(score_slice(x))
+        counted = df.select(F.col(c).alias("__v")).groupBy("__v").agg(F.count("*").alias("__n")).withColumn("__b", place)
+        per = counted.groupBy("__b").agg(F.sum("__n").alias("__n"))
+        above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = per.select(F.col("__b").alias("__ob"), F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__o"))
+        larger = Window.partitionBy("__b").orderBy(F.desc("__v")).rowsBetween(Window.unboundedPreceding, -1)
+        rank = F.coalesce(F.sum("__n").over(larger), F.lit(0)) + F.col("__o") + 1
+        ranked = counted.join(offsets, F.col("__b") == F.col("__ob")).select("__v", rank.alias(f"{c}_rank"))
+        out = out.join(ranked, F.col(c).eqNullSafe(F.col("__v")), "left").drop("__v")
+    return out

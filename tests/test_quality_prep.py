@@ -15,7 +15,7 @@ from tallyframe.operators import prep, quality
 from tallyframe.operators.quality import CheckStatus
 from tallyframe.plans import modelplan as mp
 from tallyframe.plans.workflow import DataWorkflow, PrepStage, QualityStage
-from tallyframe.sources.registry import Registry
+from tallyframe.sources.registry import Registry, importance_ranks
 from tallyframe.sources.tables import read, write
 from tallyframe.streaming.cubes import windowed_cube
 
@@ -236,6 +236,28 @@ def test_stream_equals_batch(spark, tmp_path):
         windowed_cube(df, "ts", "1 hour", [], [Share()])
 
 
+def test_importance_ranks_order_no_column_in_one_task(spark):
+    values = [None, NAN, NAN, math.inf, -math.inf, 0.0, -0.0, 1e-310, -2.5, 7.0, 7.0, None, *[float(i % 37) for i in range(300)]]
+    df = spark.createDataFrame([(i, v, i % 5) for i, v in enumerate(values)], "id long, gain double, split int").repartition(4)
+    out = importance_ranks(df)
+    assert out.columns == ["id", "gain", "split", "gain_rank", "split_rank"]
+    place = [(0,) if v is None else (2,) if math.isnan(v) else (1, v) for v in values]
+    want = {i: (1 + sum(p > q for p in place), 1 + sum(j % 5 > i % 5 for j in range(len(values)))) for i, q in enumerate(place)}
+    assert {r.id: (r.gain_rank, r.split_rank) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(__b" in plan and not any(f"windowspecdefinition({c}#" in plan for c in ("gain", "split", "__v"))
+
+
+def test_importance_ranks_cover_every_part(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(folder).exists():
+        pytest.skip("needs the sample tables")
+    got = entry.queries()["importance_ranks_whole"](spark, folder)
+    assert got.count() == read(spark, folder, "part").count() > 199
+
+
 def test_only_the_entry_knows_the_corpus_package():
     root = Path(__file__).resolve().parent.parent / "tallyframe"
     for path in root.rglob("*.py"):
