@@ -12,7 +12,8 @@ Two deterministic transducers run one after the other over whole texts.
   prefixes, created when first met; the boundary transition of a state is
   annotated with the number of tokens the tokenizer's model emits for the
   pre-token spelled, asked once.  All pre-tokens of a batch step together.
-  The table is bounded: when full it is dropped and grows anew.
+  The table is bounded: when full it is dropped and grows anew, and
+  pre-tokens that overflow an empty table are counted in halves.
 
 Special strings split a text first and count one each, as the library has it.
 Texts with characters whose class may differ between Unicode versions, and
@@ -198,7 +199,7 @@ class Counter:
 
     def _lockstep(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         state = np.ones(len(begin), np.uint64)
-        live = len(begin)
+        live, empty = len(begin), self.size == 1
         for at in range(int(length[0])):
             live = int(np.searchsorted(-length, -at - 1, "right"))
             key = (state[:live] << U64(8)) | data[begin[:live] + at].astype(U64)
@@ -206,10 +207,13 @@ class Counter:
             if (found == 0).any():
                 fresh = np.unique(key[found == 0])
                 if self.size + len(fresh) >= self.MOST:
-                    if self.size == 1:
-                        raise MemoryError("one batch has more prefixes than the table may hold")
                     self.reset()
-                    return self._lockstep(data, begin, length)
+                    if not empty:
+                        return self._lockstep(data, begin, length)
+                    if len(begin) == 1:
+                        return np.array([self.ask(data[begin[0] : begin[0] + length[0]].tobytes())])
+                    half = len(begin) // 2
+                    return np.concatenate([self._lockstep(data, begin[:half], length[:half]), self._lockstep(data, begin[half:], length[half:])])
                 self._add(fresh, np.arange(self.size + 1, self.size + 1 + len(fresh), dtype=np.uint32))
                 self.size += len(fresh)
                 found = self._find(key)

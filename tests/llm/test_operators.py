@@ -145,6 +145,17 @@ def test_transducer_table_refills(monkeypatch):
         assert token_counts.count_texts(enc, counter, [text])[0] == len(enc.tokenizer.encode(text).ids)
 
 
+def test_transducer_text_larger_than_its_table(monkeypatch):
+    enc = bpe.encoder(bpe.vocabulary())
+    text = " ".join(f"w{i * 7919}x{i}" for i in range(400)) + " " + "y" * 200
+    want = len(enc.tokenizer.encode(text).ids)
+    for most in (300, 100):  # the longest pre-token alone overflows the second
+        monkeypatch.setattr(token_counts.Counter, "MOST", most)
+        counter = token_counts.Counter(enc)
+        assert token_counts.count_texts(enc, counter, ["a b", text, "c"]).tolist() == [2, want, 1]
+        assert token_counts.count_texts(enc, counter, [text])[0] == want
+
+
 def test_substring_dedup(docs, empty):
     rows = sorted((r for r in docs.select("doc_id", "text").collect()), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     seen, want = set(), Counter()
