@@ -16,8 +16,10 @@ Two deterministic transducers run one after the other over whole texts.
   pre-tokens that overflow an empty table are counted in halves.
 
 Special strings split a text first and count one each, as the library has it.
-Texts with characters whose class may differ between Unicode versions, and
-vocabularies of other kinds, are counted by their library whole.
+A character's class is asked of the library's own split when first met, so no
+Unicode version is assumed and texts in every script take this path.  Texts with
+the unassigned U+0590, and vocabularies of other kinds, are counted by their
+library whole.
 
 Null and empty texts count 0 tokens in 0 bytes.  Rows are counted one by one,
 repeated or not; an empty table gives no rows; extra columns are ignored.
@@ -29,11 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PLAIN_ONLY, Encoder, encoder
+from .bpe import Encoder, encoder
 from .common import arrow_sizes, ship
 from .words import U64, mix, pieces
 
@@ -82,28 +83,40 @@ def _compile_splitter() -> tuple[np.ndarray, np.ndarray]:
     return step, emit
 
 
-def _classes(limit: int = 0x590) -> np.ndarray:
-    out = np.full(limit + 1, O, np.uint8)
-    for code in range(limit):
-        c = chr(code)
-        if c == " ":
-            out[code] = SP
-        elif regex.fullmatch(r"\s", c):
-            out[code] = WS
-        elif regex.fullmatch(r"\p{L}", c):
-            out[code] = L
-        elif regex.fullmatch(r"\p{N}", c):
-            out[code] = N
-    for kind, members in ((AP, "'"), (ONE, "stmd"), (R, "r"), (V, "v"), (LL, "l"), (E, "e")):
-        for c in members:
-            out[ord(c)] = kind
-    out[limit] = END
+def ask_classes(tokenizer, codes: np.ndarray) -> np.ndarray:
+    """Classes of characters: which of a letter, a digit and a sign the library's own split lets them follow."""
+    out = np.full(len(codes), WS, np.uint8)
+    for lead, kind in (("a", L), ("1", N), ("!", O)):
+        probe = "".join(f"{lead}{chr(c)}\n" for c in codes.tolist())
+        cut = np.zeros(len(probe) + 1, bool)
+        cut[[lo for _, (lo, _) in tokenizer.pre_tokenizer.pre_tokenize_str(probe)]] = True
+        out[~cut[1::3][: len(codes)]] = kind
     return out
 
 
+class Classes:
+    """Class of every character, asked of the library when a character is first met."""
+
+    def __init__(self, enc: Encoder):
+        self.tokenizer, self.of = enc.tokenizer, np.full(0x110000, UNKNOWN, np.uint8)
+        self.of[MARK] = END
+        self(np.delete(np.arange(0x250, dtype=np.uint32), ord(" ")))
+        for kind, members in ((SP, " "), (AP, "'"), (ONE, "stmd"), (R, "r"), (V, "v"), (LL, "l"), (E, "e")):
+            for c in members:
+                self.of[ord(c)] = kind
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        kinds = self.of[codes]
+        if kinds.max() == UNKNOWN:
+            fresh = np.unique(codes[kinds == UNKNOWN])
+            self.of[fresh] = ask_classes(self.tokenizer, fresh)
+            kinds = self.of[codes]
+        return kinds
+
+
 STEP, EMIT = _compile_splitter()
-CLASS_OF = _classes()
-MARK = len(CLASS_OF) - 1
+#: Unassigned, and of two bytes; a text that holds it is counted by the library.
+MARK, UNKNOWN = 0x590, 255
 
 
 def compose_scan(maps: np.ndarray) -> np.ndarray:
@@ -145,7 +158,7 @@ class Counter:
     SLOTS, MOST = 1 << 22, 2_400_000
 
     def __init__(self, enc: Encoder):
-        self.model, self.letters = enc.table.model, enc.table.letters
+        self.model, self.letters, self.classes = enc.table.model, enc.table.letters, Classes(enc)
         self.reset()
 
     def reset(self) -> None:
@@ -231,7 +244,7 @@ def count_texts(enc: Encoder, counter: Counter, texts: list[str]) -> np.ndarray:
     total = np.zeros(len(texts), np.int64)
     parts, owner = [], []
     for i, text in enumerate(texts):
-        if PLAIN_ONLY.search(text):
+        if chr(MARK) in text:
             total[i] = len(enc.tokenizer.encode(text, add_special_tokens=False).ids)
             continue
         spans = [text]
@@ -244,10 +257,13 @@ def count_texts(enc: Encoder, counter: Counter, texts: list[str]) -> np.ndarray:
         return total
     joined = chr(MARK).join(parts) + chr(MARK)
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    begins = split(CLASS_OF[codes])
+    begins = split(counter.classes(codes))
     marks = codes == MARK
     begins |= marks
-    bytes_before = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80).astype(np.int64))])  # below U+0590 two bytes at most
+    width = 1 + (codes >= 0x80).astype(np.int64)
+    if codes.max() >= 0x800:
+        width += (codes >= 0x800).astype(np.int64) + (codes >= 0x10000)
+    bytes_before = np.concatenate([[0], np.cumsum(width)])
     heads = np.flatnonzero(begins)
     start = bytes_before[heads]
     size = np.diff(np.append(start, bytes_before[-1]))

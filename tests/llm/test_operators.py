@@ -156,6 +156,28 @@ def test_transducer_text_larger_than_its_table(monkeypatch):
         assert token_counts.count_texts(enc, counter, [text])[0] == want
 
 
+def test_transducer_every_script():
+    import random
+
+    enc, rng = bpe.encoder(bpe.vocabulary()), random.Random(6)
+    counter = token_counts.Counter(enc)
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = ["".join(map(chr, codes[i : i + 5000])) for i in range(0, len(codes), 5000)]
+    every += ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}'s{chr(c)}!" for c in rng.sample(codes, 300)) for _ in range(40)]
+    parts = ["“it’s”", "—", "…", "€", "日本語", "العربية", "हिन्दी", "😀", "👩‍👧", "\u2003", "\u3000", "\x1c", "\x85", "\u0558", "\u0590", "\U0010ffff", " ", "\n", "'s", "'", "a", "1", "٣", "!", "<|endoftext|>"]
+    texts = every + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    want = [len(e.ids) for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.count_texts(enc, counter, texts).tolist() == want
+
+
+def test_transducer_counts_every_script_by_itself(monkeypatch):
+    enc = bpe.encoder(bpe.vocabulary())
+    counter, text = token_counts.Counter(enc), "“it’s” — 5 € … 日本語 العربية हिन्दी 😀\u3000x"
+    want = len(enc.tokenizer.encode(text, add_special_tokens=False).ids)
+    monkeypatch.setattr(enc, "tokenizer", None)
+    assert token_counts.count_texts(enc, counter, [text])[0] == want
+
+
 def test_substring_dedup(docs, empty):
     rows = sorted((r for r in docs.select("doc_id", "text").collect()), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     seen, want = set(), Counter()
