@@ -4,6 +4,8 @@ Documents are grouped by site.  A line's frequency is the number of the site's
 documents that contain it over all the site's documents; lines above
 ``max_ratio`` are dropped from every document of that site.  ``min_pages``
 keeps lines that too few documents share to say anything, as on tiny sites.
+With ``small_ratio`` it gives way on sites of fewer than ``min_pages / max_ratio``
+documents: there lines above that ratio go too, if three documents have them.
 
 Lines are compared after trimming blanks, tabs and carriage returns; lines
 that are then empty are never boilerplate.  A null site is a site of its own,
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 BROADCAST_LINES = 200_000
+LEAST_PAGES = 3
 
 
 def host_of(url: Column) -> Column:
@@ -45,15 +48,19 @@ def line_counts(docs: DataFrame, site: str = "source", text: str = "text") -> Da
     return lines.join(sites, F.col("__site").eqNullSafe(F.col("__of"))).drop("__of")
 
 
-def boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, site: str = "source", text: str = "text") -> DataFrame:
+def boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, site: str = "source", text: str = "text", small_ratio: float | None = None) -> DataFrame:
     """``__site, __key`` of lines whose site-relative frequency exceeds the ratio."""
-    return line_counts(docs, site, text).filter((F.col("__pages") >= min_pages) & (F.col("__pages") > F.col("__site_pages") * max_ratio)).select("__site", "__key")
+    pages, site_pages = F.col("__pages"), F.col("__site_pages")
+    common = (pages >= min_pages) & (pages > site_pages * max_ratio)
+    if small_ratio is not None:
+        common |= (site_pages * max_ratio < min_pages) & (pages >= LEAST_PAGES) & (pages > site_pages * small_ratio)
+    return line_counts(docs, site, text).filter(common).select("__site", "__key")
 
 
-def line_dedup(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, site: str = "source", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, site: str = "source", text: str = "text", small_ratio: float | None = None) -> DataFrame:
     """``docs`` with boilerplate lines taken out, plus ``n_lines`` and ``n_dropped``."""
     store = Scratch(docs.sparkSession, "line-dedup")
-    drop = store.keep(boilerplate(docs, max_ratio, min_pages, site, text), "boilerplate")
+    drop = store.keep(boilerplate(docs, max_ratio, min_pages, site, text, small_ratio), "boilerplate")
     by_site = drop.groupBy(F.col("__site").alias("__of")).agg(F.collect_list("__key").alias("__drop"))
     if drop.count() <= BROADCAST_LINES:
         by_site = F.broadcast(by_site)

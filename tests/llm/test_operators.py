@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from tallyframe.llm import bpe, components, decontam, exact_dedup, line_dedup, minhash, packing, sstable, substring_dedup, token_counts, toxicity, url_filter, words
 from tallyframe.llm.common import Scratch
 
@@ -291,6 +292,14 @@ def test_line_dedup(spark, empty):
     assert line_dedup.line_dedup(empty).collect() == []
 
 
+def test_line_dedup_small_sites(spark):
+    rows = [(i, f"menu\nhalf {i % 2}\nown {i}", "a") for i in range(9)] + [(10 + i, f"menu\nx {i}", "b") for i in range(2)] + [(20 + i, f"{'menu' if i < 9 else i}\ny {i}", "c") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    got = {r.doc_id: r.text for r in stage(spark, df, "").collect()}
+    assert got == {d: "\n".join(x for x in t.split("\n") if not (s == "a" and x in ("menu", "half 0"))) for d, t, s in rows}
+
+
 def test_line_dedup_without_broadcast(docs, monkeypatch):
     want = sorted(map(str, line_dedup.line_dedup(docs, 0.1, 2).select("doc_id", "text").collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
