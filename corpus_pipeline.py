@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; the documents stay, with ``n_chars`` brought up to date."""
-    cleaned = line_dedup.line_dedup(docs, small_ratio=0.5).select(*docs.columns)
+    cleaned = line_dedup.line_dedup(docs, small_ratio=0.5, per_text=True).select(*docs.columns)
     if "n_chars" in docs.columns:
         changed = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
         cleaned = cleaned.withColumn("n_chars", changed)

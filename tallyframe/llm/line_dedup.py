@@ -7,6 +7,9 @@ keeps lines that too few documents share to say anything, as on tiny sites.
 With ``small_ratio`` it gives way on sites of fewer than ``min_pages / max_ratio``
 documents: there lines above that ratio go too, if three documents have them.
 
+With ``per_text`` a site's documents are its distinct texts, so a group of copies
+counts as one page and doesn't make its own lines boilerplate.
+
 Lines are compared after trimming blanks, tabs and carriage returns; lines
 that are then empty are never boilerplate.  A null site is a site of its own,
 a null text stays null, repeated rows count one by one, an empty table gives
@@ -39,28 +42,31 @@ def line_key(line: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit(1), trimmed).alias("b")))
 
 
-def line_counts(docs: DataFrame, site: str = "source", text: str = "text") -> DataFrame:
+def line_counts(docs: DataFrame, site: str = "source", text: str = "text", per_text: bool = False) -> DataFrame:
     """``site, key, pages, site_pages`` for every line of every site."""
     split = F.split(F.col(text), "\n")
     keys = F.array_distinct(F.filter(F.transform(split, line_key), lambda k: k.isNotNull()))
-    lines = docs.select(F.col(site).alias("__site"), F.explode(keys).alias("__key")).groupBy("__site", "__key").agg(F.count("*").alias("__pages"))
-    sites = docs.groupBy(F.col(site).alias("__of")).agg(F.count("*").alias("__site_pages"))
+    pages = docs.select(F.col(site).alias("__site"), F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(1), F.col(text)).alias("__b"), keys.alias("__keys"))
+    if per_text:
+        pages = pages.groupBy("__site", "__a", "__b").agg(F.first("__keys").alias("__keys"))
+    lines = pages.select("__site", F.explode("__keys").alias("__key")).groupBy("__site", "__key").agg(F.count("*").alias("__pages"))
+    sites = pages.groupBy(F.col("__site").alias("__of")).agg(F.count("*").alias("__site_pages"))
     return lines.join(sites, F.col("__site").eqNullSafe(F.col("__of"))).drop("__of")
 
 
-def boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, site: str = "source", text: str = "text", small_ratio: float | None = None) -> DataFrame:
+def boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, site: str = "source", text: str = "text", small_ratio: float | None = None, per_text: bool = False) -> DataFrame:
     """``__site, __key`` of lines whose site-relative frequency exceeds the ratio."""
     pages, site_pages = F.col("__pages"), F.col("__site_pages")
     common = (pages >= min_pages) & (pages > site_pages * max_ratio)
     if small_ratio is not None:
         common |= (site_pages * max_ratio < min_pages) & (pages >= LEAST_PAGES) & (pages > site_pages * small_ratio)
-    return line_counts(docs, site, text).filter(common).select("__site", "__key")
+    return line_counts(docs, site, text, per_text).filter(common).select("__site", "__key")
 
 
-def line_dedup(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, site: str = "source", text: str = "text", small_ratio: float | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, site: str = "source", text: str = "text", small_ratio: float | None = None, per_text: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out, plus ``n_lines`` and ``n_dropped``."""
     store = Scratch(docs.sparkSession, "line-dedup")
-    drop = store.keep(boilerplate(docs, max_ratio, min_pages, site, text, small_ratio), "boilerplate")
+    drop = store.keep(boilerplate(docs, max_ratio, min_pages, site, text, small_ratio, per_text), "boilerplate")
     by_site = drop.groupBy(F.col("__site").alias("__of")).agg(F.collect_list("__key").alias("__drop"))
     if drop.count() <= BROADCAST_LINES:
         by_site = F.broadcast(by_site)

@@ -300,6 +300,18 @@ def test_line_dedup_small_sites(spark):
     assert got == {d: "\n".join(x for x in t.split("\n") if not (s == "a" and x in ("menu", "half 0"))) for d, t, s in rows}
 
 
+def test_pipeline_keeps_one_of_many_copies(spark):
+    copy = "\n".join(f"line {i} of the copied text" for i in range(4))
+    rows = [(i, copy, "a") for i in range(30)] + [(100 + i, "menu\n" + " ".join(f"w{i}x{j}" for j in range(9)), "a") for i in range(80)] + [(300, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stage = dict(corpus_pipeline.STAGES)
+    lines = stage["line_dedup"](spark, df, "")
+    got = {r.doc_id: r.text for r in lines.collect()}
+    assert [got[i] for i in range(30)] == [copy] * 30 and got[300] is None
+    assert not any(got[100 + i].startswith("menu") for i in range(80))
+    assert [r.doc_id for r in stage["near_dedup"](spark, lines, "").collect() if r.text == copy] == [0]
+
+
 def test_line_dedup_without_broadcast(docs, monkeypatch):
     want = sorted(map(str, line_dedup.line_dedup(docs, 0.1, 2).select("doc_id", "text").collect()))
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
