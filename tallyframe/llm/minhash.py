@@ -21,10 +21,11 @@ their sets; blocks that share a bucket meet once, and a task returns a link for
 each pair of components it finds.  So no large bucket is expanded to pairs of
 rows, none is cut short, and no task holds more than two blocks.
 
-Null, empty and wordless texts have an empty set and link with nothing.  Rows
-sharing an id are one document.  A null id belongs to the class of its text, or
-to none.  Empty tables give no rows; extra columns don't matter to ``classes``
-and come back from ``deduplicate``.
+Null, empty and wordless texts have an empty set and link with nothing.  To
+``classes``, rows sharing an id are one document, and a null id belongs to the
+class of its text, or to none; ``deduplicate`` takes every row by itself.  Empty
+tables give no rows; extra columns don't matter to ``classes`` and come back from
+``deduplicate``.
 """
 
 from __future__ import annotations
@@ -276,7 +277,14 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component; rows sharing an id stay or go together."""
-    found = classes(docs, text=text, key=key, **options)
-    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each component, that of the smallest id; rows without an id come last.
+
+    Rows are numbered in the order of their ids, so rows that share an id, or
+    have none, are told apart.
+    """
+    order = [F.col(key).asc_nulls_last(), F.xxhash64(text)]
+    numbered = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
+    numbered = Scratch(docs.sparkSession, "minhash-rows").keep(numbered, "numbered")
+    found = classes(numbered, text=text, key="__row", **options)
+    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone"))
+    return numbered.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)

@@ -388,6 +388,14 @@ def test_minhash(docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, c in want.values()} | {None}
 
 
+def test_deduplicate_rows_without_an_id_of_their_own(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(7, one), (7, one), (None, one), (9, one + " end"), (None, two), (None, two), (3, three), (3, two + " end"), (None, ""), (None, None), (5, three)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in minhash.deduplicate(df).collect())
+    assert got == Counter([(7, one), (3, two + " end"), (3, three), (None, ""), (None, None)])
+
+
 def test_minhash_large_mixed_buckets(spark, monkeypatch):
     """Buckets past the all-pairs size go through blocks and lose no link."""
     import random
