@@ -46,10 +46,13 @@ def line_counts(docs: DataFrame, site: str = "source", text: str = "text", per_t
     """``site, key, pages, site_pages`` for every line of every site."""
     split = F.split(F.col(text), "\n")
     keys = F.array_distinct(F.filter(F.transform(split, line_key), lambda k: k.isNotNull()))
-    pages = docs.select(F.col(site).alias("__site"), F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(1), F.col(text)).alias("__b"), keys.alias("__keys"))
+    pages = docs.select(F.col(site).alias("__site"))
+    lines = docs.select(F.col(site).alias("__site"), F.explode(keys).alias("__key"))
     if per_text:
-        pages = pages.groupBy("__site", "__a", "__b").agg(F.first("__keys").alias("__keys"))
-    lines = pages.select("__site", F.explode("__keys").alias("__key")).groupBy("__site", "__key").agg(F.count("*").alias("__pages"))
+        hashed = docs.select(F.col(site).alias("__site"), F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(1), F.col(text)).alias("__b"), keys.alias("__keys"))
+        pages = hashed.groupBy("__site", "__a", "__b").agg(F.first("__keys").alias("__keys"))
+        lines = pages.select("__site", F.explode("__keys").alias("__key"))
+    lines = lines.groupBy("__site", "__key").agg(F.count("*").alias("__pages"))
     sites = pages.groupBy(F.col("__site").alias("__of")).agg(F.count("*").alias("__site_pages"))
     return lines.join(sites, F.col("__site").eqNullSafe(F.col("__of"))).drop("__of")
 
