@@ -4,8 +4,8 @@ A word is the sum of three rows of one embedding table, picked by the hashes of
 the whole word and of its first four and six bytes, so inflected and compounded
 forms share weight.  Filters of one, two and three words slide over the whole
 text, each is max-pooled, and a logistic layer reads the maxima.  Training is
-plain numpy on the driver, on at most ``max_rows`` labelled rows; its first
-embedding dimension starts at each bucket's association with the label.
+plain numpy on the driver, on at most ``max_rows`` labelled rows, of which four
+bytes a bucket are kept; its first embedding dimension starts at each bucket's association with the label.
 Scores are Platt-scaled on labelled rows held back from fitting, and a decision
 threshold is calibrated on those rows for each language.
 
@@ -22,6 +22,7 @@ columns don't matter to ``score`` and come back from ``keep_clean``.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_sizes, ship
-from .words import _SCRAMBLE, LETTERS, U64, Words, _powers, mix, pieces, words_of
+from .words import LETTERS, U64, pieces, words_of
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 PREFIXES = (4, 6)
@@ -39,19 +40,40 @@ MAX_ROWS = 8000
 THRESHOLD = 0.7
 
 
-def features(column: pa.Array) -> tuple[Words, np.ndarray]:
-    """Words of a batch and their buckets, [word, 1 + prefixes]."""
-    words = words_of(column, LETTERS, lower=True)
-    out = np.empty((len(words.hash), 1 + len(PREFIXES)), np.int32)
-    out[:, 0] = words.hash >> U64(48)
-    n = len(words.data)
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_SCRAMBLE[words.data] * up[:n], out=sums[1:])
-    for j, size in enumerate(PREFIXES, 1):
-        end = np.minimum(words.end, words.start + size)
-        out[:, j] = mix((sums[end] - sums[words.start]) * down[words.start] + U64(0x51ED270B * j)) >> U64(48)
-    return words, out
+SPAN_WORDS = 1 << 16
+
+
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's range of words, and the words' buckets, [word, 1 + prefixes].
+
+    Taken a piece at a time: what stays is four bytes a bucket.
+    """
+    firsts, buckets = [np.zeros(1, np.int64)], [np.zeros((0, 1 + len(PREFIXES)), np.int32)]
+    for _, part in pieces(column):
+        words = words_of(part, LETTERS, lower=True, prefixes=PREFIXES)
+        out = np.empty((len(words.hash), 1 + len(PREFIXES)), np.int32)
+        out[:, 0] = words.hash >> U64(48)
+        out[:, 1:] = words.prefix >> U64(48)
+        firsts.append(words.first[1:] + firsts[-1][-1])
+        buckets.append(out)
+    return np.concatenate(firsts), np.concatenate(buckets)
+
+
+def spans_of(first: np.ndarray, most: int = SPAN_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in groups of about ``most`` words, as owner, begin and end of spans.
+
+    A longer text gives several spans, overlapping by all but one word of the
+    widest filter; no window is lost, and the maximum of the spans' is the text's.
+    """
+    lap, lo, n = max(WIDTHS) - 1, 0, len(first) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + most, "right")) - 1)
+        if first[hi] - first[lo] <= most:
+            yield np.arange(lo, hi), first[lo:hi], first[lo + 1 : hi + 1]
+        else:
+            for at in range(int(first[lo]), int(first[hi]), most):
+                yield np.array([lo]), np.array([at]), np.array([min(at + most + lap, first[hi])])
+        lo = hi
 
 
 @dataclass
@@ -68,11 +90,17 @@ class Model:
     thresholds: dict[str, float] = field(default_factory=dict)
 
     def score(self, column: pa.Array) -> np.ndarray:
-        words, buckets = features(column)
+        return self.score_buckets(*features(column))
+
+    def score_buckets(self, first: np.ndarray, buckets: np.ndarray) -> np.ndarray:
         if not self.tables:
-            return np.full(len(column), self.base)
-        pooled = pool(words.first, [sum(t[buckets[:, j]] for j in range(buckets.shape[1])) for t in self.tables], self.bias)[0]
-        logit = np.maximum(pooled, 0) @ self.dense + self.intercept
+            return np.full(len(first) - 1, self.base)
+        active = np.zeros((len(first) - 1, len(self.dense)), np.float32)
+        for owner, lo, hi in spans_of(first):
+            own = buckets[lo[0] : hi[-1]]
+            pooled = pool(np.append(lo, hi[-1]) - lo[0], [sum(t[own[:, j]] for j in range(own.shape[1])) for t in self.tables], self.bias)[0]
+            active[owner] = np.maximum(active[owner], pooled)
+        logit = active.astype(np.float64) @ self.dense + self.intercept
         return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30)))
 
 
@@ -104,14 +132,14 @@ def pool(first: np.ndarray, parts: list[np.ndarray], bias: np.ndarray) -> tuple[
     return np.concatenate(best, axis=1), place
 
 
-def train(texts: list[str | None], labels: np.ndarray, langs: list[str | None], seed: int = 7, epochs: int = 6, rate: float = 0.02) -> Model:
+def train(texts: pa.Array, labels: np.ndarray, langs: list[str | None], seed: int = 7, epochs: int = 6, rate: float = 0.02) -> Model:
     """Fit on four fifths of the rows, calibrate on the rest."""
     labels = np.asarray(labels, np.float32)
     base = float(labels.mean()) if len(labels) else 0.0
     if len(labels) < 20 or base in (0.0, 1.0):
         return Model(base=base)
-    words, buckets = features(pa.array(texts, pa.large_string()))
-    n, first = len(texts), words.first
+    first, buckets = features(texts)
+    n = len(texts)
     rng = np.random.default_rng(seed)
     fold = rng.permutation(n)
     held, fit = fold[: n // 5], fold[n // 5 :]
@@ -176,12 +204,12 @@ def train(texts: list[str | None], labels: np.ndarray, langs: list[str | None],
                 np.add.at(square, ids[touched, j], (dx[touched] ** 2).mean(axis=1))
                 np.add.at(table, ids[touched, j], -rate * dx[touched] / np.sqrt(square[ids[touched, j]])[:, None])
     model = Model([table @ k for k in kernels], bias, dense, float(intercept[0]), base=base)
-    _calibrate(model, [texts[i] for i in held], labels[held], [langs[i] for i in held])
+    _calibrate(model, model.score_buckets(first, buckets)[held], labels[held], [langs[i] for i in held])
     return model
 
 
-def _calibrate(model: Model, texts: list[str | None], labels: np.ndarray, langs: list[str | None]) -> None:
-    raw = model.score(pa.array(texts, pa.large_string()))
+def _calibrate(model: Model, raw: np.ndarray, labels: np.ndarray, langs: list[str | None]) -> None:
+    """Platt parameters, and each language's threshold, from uncalibrated scores."""
     logit = np.log(np.clip(raw, 1e-9, 1 - 1e-9) / np.clip(1 - raw, 1e-9, 1))
     a, b = 1.0, 0.0
     for _ in range(200):  # Newton steps on the two Platt parameters, lightly ridged
@@ -194,7 +222,7 @@ def _calibrate(model: Model, texts: list[str | None], labels: np.ndarray, langs:
         if np.abs(move).max() < 1e-8:
             break
     model.scale, model.shift = max(float(a), 0.05), float(b)
-    scores = model.score(pa.array(texts, pa.large_string()))
+    scores = 1 / (1 + np.exp(-np.clip(model.scale * logit + model.shift, -30, 30)))
     for lang in {x for x in langs if x is not None}:
         own = np.array([x == lang for x in langs])
         s, y = scores[own], labels[own]
@@ -206,6 +234,11 @@ def _calibrate(model: Model, texts: list[str | None], labels: np.ndarray, langs:
         model.thresholds[lang] = float(best[np.abs(best - THRESHOLD).argmin()])
 
 
+def hash_of(text: pa.Scalar) -> int:
+    """Puts rows that share an id in one order."""
+    return zlib.crc32((text.as_py() or "").encode())
+
+
 def remainder(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(3))
 
@@ -217,9 +250,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: str
     """
     usable = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull() & (remainder(F.col(key)) != 1)).groupBy(F.col(key).alias("__id")).agg(F.max("toxic").alias("__toxic"))
     sample = usable.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)  # bounded by max_rows, so broadcast
-    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang")).join(F.broadcast(sample), "__id").collect()
-    rows.sort(key=lambda r: (r["__id"], r["__text"] or ""))
-    return train([r["__text"] for r in rows], np.array([r["__toxic"] for r in rows], np.float32), [r["__lang"] for r in rows])
+    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang")).join(F.broadcast(sample), "__id").toArrow()
+    order = sorted(range(len(rows)), key=list(zip(rows["__id"].to_pylist(), (hash_of(t) for t in rows["__text"]), strict=True)).__getitem__)
+    rows = rows.take(order).combine_chunks()
+    texts = rows["__text"].cast(pa.large_string()).combine_chunks()
+    return train(texts, rows["__toxic"].to_numpy().astype(np.float32), rows["__lang"].to_pylist())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
@@ -232,7 +267,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            scores = np.concatenate([np.zeros(0), *(own.score(part) for _, part in pieces(batch.column(3)))])
+            scores = own.score(batch.column(3))
             level = np.array([own.thresholds.get(x, THRESHOLD) for x in batch.column(2).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(level), pa.array(scores >= level)], names=["doc_id", "held_out", "score", "predicted", "threshold", "rejected"])
 
@@ -251,7 +286,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", lang: str = "l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            scores = np.concatenate([np.zeros(0), *(own.score(part) for _, part in pieces(batch.column(at_text)))])
+            scores = own.score(batch.column(at_text))
             level = np.array([own.thresholds.get(x, THRESHOLD) for x in batch.column(at_lang).to_pylist()], np.float64)
             yield batch.filter(pa.array(scores < level))
 

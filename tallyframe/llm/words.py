@@ -6,6 +6,7 @@ sums, so a batch of texts costs a few array passes and no Python loop.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,6 +58,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # text i has words first[i] .. first[i + 1]
+    prefix: np.ndarray  # hashes of prefixes, [word, prefix]
 
     def text(self, i: int) -> np.ndarray:
         return np.arange(self.first[i], self.first[i + 1])
@@ -71,23 +73,47 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words_of(column: pa.Array, inside: np.ndarray = NOT_SPACE, lower: bool = False) -> Words:
+def segments(data: np.ndarray, inside: np.ndarray, nbytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``nbytes`` that end outside words, so that byte-wide arrays stay small."""
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + nbytes, len(data))
+        while hi < len(data):  # on to the next byte that is in no word
+            ahead = np.flatnonzero(~inside[data[hi : hi + 65536]])
+            hi = min(hi + 65536, len(data)) if not len(ahead) else hi + int(ahead[0])
+            if len(ahead):
+                break
+        yield lo, hi
+        lo = hi
+
+
+def words_of(column: pa.Array, inside: np.ndarray = NOT_SPACE, lower: bool = False, prefixes: tuple[int, ...] = ()) -> Words:
+    """Words of a batch of texts; ``prefixes`` also hashes the first so many bytes of each."""
     data, offsets = text_bytes(column)
     if lower:
         data = LOWER[data]
-    n = len(data)
-    word = np.zeros(n + 2, bool)
-    word[1:-1] = inside[data]
-    opens, closes = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
-    cuts = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < n)]  # a text's end also ends a word
-    opens[cuts] = word[1:-1][cuts]
-    closes[cuts - 1] = word[1:-1][cuts - 1]
-    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_SCRAMBLE[data] * up[:n], out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
-    return Words(data, start, end, hashed, np.searchsorted(start, offsets))
+    starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(prefixes)), U64)]
+    for lo, hi in segments(data, inside):
+        part, n = data[lo:hi], hi - lo
+        word = np.zeros(n + 2, bool)
+        word[1:-1] = inside[part]
+        opens, closes = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
+        cuts = offsets[np.searchsorted(offsets, lo, "right") : np.searchsorted(offsets, hi, "left")] - lo  # a text's end also ends a word
+        opens[cuts] = word[1:-1][cuts]
+        closes[cuts - 1] = word[1:-1][cuts - 1]
+        start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        up, down = _powers(n + 1)
+        sums = np.zeros(n + 1, U64)
+        np.cumsum(_SCRAMBLE[part] * up[:n], out=sums[1:])
+        found = np.empty((len(start), 1 + len(prefixes)), U64)
+        found[:, 0] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+        for j, size in enumerate(prefixes, 1):
+            found[:, j] = mix((sums[np.minimum(end, start + size)] - sums[start]) * down[start] + U64(0x51ED270B * j))
+        starts.append(start + lo)
+        ends.append(end + lo)
+        hashes.append(found)
+    start, every = np.concatenate(starts), np.concatenate(hashes)
+    return Words(data, start, np.concatenate(ends), np.ascontiguousarray(every[:, 0]), np.searchsorted(start, offsets), every[:, 1:])
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:

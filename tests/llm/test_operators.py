@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -447,6 +448,43 @@ def test_word_hashes():
     assert np.diff(found.first).tolist() == [len(SPACE.findall(t or "")) for t in texts]
 
 
+def test_word_hashes_do_not_depend_on_segments(monkeypatch):
+    texts = [("ab cd-ef " * 40).strip(), "", None, "x" * 700, "gh", "ij kl", " ", "mn" + "y" * 90]
+    whole = words.words_of(pa.array(texts), words.LETTERS, lower=True, prefixes=(4, 6))
+    cut = words.segments
+    monkeypatch.setattr(words, "segments", lambda data, inside: cut(data, inside, 64))
+    parts = words.words_of(pa.array(texts), words.LETTERS, lower=True, prefixes=(4, 6))
+    for name in ("start", "end", "hash", "first", "prefix"):
+        assert np.array_equal(getattr(whole, name), getattr(parts, name)), name
+
+
+def test_toxicity_scores_do_not_depend_on_spans(monkeypatch):
+    rows = toxic_rows(300, 3)
+    model = toxicity.train(pa.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows])
+    texts = pa.array([r[1] for r in rows[:40]] + [None, "", "w1", " ".join(r[1] for r in rows[:60])])
+    whole, cut = model.score(texts), toxicity.spans_of
+    monkeypatch.setattr(toxicity, "spans_of", lambda first: cut(first, 17))
+    assert np.allclose(whole, model.score(texts), atol=1e-6)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the sample tables")
+def test_toxicity_on_the_sample_tables_by_language(spark):
+    """Held-out rows of invented prose, where toxic words share no stem."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).filter("held_out").join(labels.filter("toxic is not null").select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    by = defaultdict(list)
+    for r in scored:
+        by[r.lang].append(r)
+        by["all"].append(r)
+    for lang, rows in by.items():
+        good, bad = np.array([r.score for r in rows if r.toxic]), np.array([r.score for r in rows if not r.toxic])
+        if len(good) < 20:
+            continue
+        auc = (good[:, None] > bad[None, :]).mean()
+        assert auc > 0.9, (lang, auc)
+        assert lang != "all" or ((good >= 0.7).mean() > 0.8 and (bad >= 0.7).mean() < 0.01), ((good >= 0.7).mean(), (bad >= 0.7).mean())
+
+
 def toxic_rows(n, seed):
     import random
 
