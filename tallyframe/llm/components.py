@@ -30,11 +30,15 @@ def components(store: Scratch, edges: DataFrame, name: str = "cc", seed: DataFra
         seen = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "comp", F.least("comp", F.coalesce("c", "comp")).alias("c"))
         seen = store.keep(seen, f"{name}-{turn}-seen")
         if not seen.filter("c < comp").limit(1).count():
+            for old in (f"{name}-edges", f"{name}-{turn}-seen"):
+                store.drop(old)
             return labels
         hooks = seen.filter("c < comp").groupBy(F.col("comp").alias("from")).agg(F.min("c").alias("to"))
         hooks = store.keep(_shortcut(store, hooks, f"{name}-{turn}"), f"{name}-{turn}-hooks")
         moved = seen.join(hooks, F.col("comp") == F.col("from"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
         labels = store.keep(moved, f"{name}-{turn}")
+        for old in (f"{name}-{turn - 1}", f"{name}-{turn}-seen", f"{name}-{turn}-hooks"):
+            store.drop(old)
 
 
 def _shortcut(store: Scratch, hooks: DataFrame, name: str) -> DataFrame:
@@ -52,3 +56,4 @@ def _shortcut(store: Scratch, hooks: DataFrame, name: str) -> DataFrame:
         if not joined.filter(F.col("end").isNotNull()).limit(1).count():
             return hooks
         hooks = store.keep(joined.select("from", F.coalesce("end", "to").alias("to")), f"{name}-hook-{step}")
+        store.drop(f"{name}-hook-{step - 1}")

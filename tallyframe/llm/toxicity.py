@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: str
     sample = usable.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)  # bounded by max_rows, so broadcast
     rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"), F.col(lang).alias("__lang")).join(F.broadcast(sample), "__id").toArrow()
     order = sorted(range(len(rows)), key=list(zip(rows["__id"].to_pylist(), (hash_of(t) for t in rows["__text"]), strict=True)).__getitem__)
-    rows = rows.take(order).combine_chunks()
+    rows = rows.take(pa.array(order, pa.int64())).combine_chunks()
     texts = rows["__text"].cast(pa.large_string()).combine_chunks()
     return train(texts, rows["__toxic"].to_numpy().astype(np.float32), rows["__lang"].to_pylist())
 
