@@ -5,10 +5,15 @@ a pattern, so equal stretches give equal chunks wherever they stand.  Chunks
 become 128-bit identifiers; a document is then its recipe, the ordered list of
 those identifiers, and recipes are what is shuffled and compared.
 
-Identifiers are verified: for documents whose recipe occurs more than once the
-chunks' bytes are compared per identifier, once each after map-side merging,
-and an identifier found with different bytes is told apart by a second,
-256-bit digest.  Long texts are never moved whole.
+Identifiers are verified: the first pass also gives each chunk a second, 256-bit
+digest by another function, and where a recipe occurs more than once the digests
+of each identifier are compared.  An identifier found with two digests stands for
+two contents, and recipes are then extended by the digest of their whole text.
+No text is ever shuffled; a chunk moves as 48 bytes, and only in such recipes.
+
+Copies meet as partial counts, a row for each map task, and only repeated recipes
+are joined back, in a table of their own, so a recipe that a third of all rows
+have is either broadcast or split by the skew join.
 
 A null text counts as empty, and all empty texts are one group.  Rows with the
 same id and text are both kept when that id is the largest.  A null id ranks
@@ -27,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_sizes, ship
+from .words import pieces
 
-RECIPES = "doc_id long, text_sha256 string, recipe array<binary>"
-CHUNKS = "chunk binary, content binary"
+RECIPES = "doc_id long, text_sha256 string, recipe array<binary>, proofs array<binary>"
 LEAST, MOST, MASK = 512, 8192, np.uint64((1 << 10) - 1)
 
 _state = 0x2545F4914F6CDD1D
@@ -81,43 +86,44 @@ def identify(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
+def prove(chunk: bytes) -> bytes:
+    return hashlib.sha256(chunk).digest()
+
+
 def recipes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Each document's chunk identifiers in order, with a digest for each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [normalise(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(d).hexdigest() for d in data]), pa.array([[identify(c) for c in chunks(d)] for d in data], pa.list_(pa.binary()))], names=["doc_id", "text_sha256", "recipe"])
+            for lo, part in pieces(batch.column(1), 8 << 20):
+                data = [normalise(t) for t in part.to_pylist()]
+                cut = [chunks(d) for d in data]
+                whole = [hashlib.sha256(d) for d in data]
+                proofs = [[w.digest()] if len(c) == 1 else [prove(x) for x in c] for c, w in zip(cut, whole, strict=True)]
+                columns = [pa.array([w.hexdigest() for w in whole]), pa.array([[identify(x) for x in c] for c in cut], pa.list_(pa.binary())), pa.array(proofs, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), *columns], names=["doc_id", "text_sha256", "recipe", "proofs"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, RECIPES)
 
 
-def chunk_contents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Identifier and bytes of every chunk, each once for a batch of rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = {(identify(c), c) for t in batch.column(0).to_pylist() for c in chunks(normalise(t))}
-            if seen:
-                names, contents = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(contents, pa.binary())], names=["chunk", "content"])
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, CHUNKS)
+def grouped(store: Scratch, made: DataFrame, name: str) -> DataFrame:
+    """``recipe, keep_id, group_size`` of recipes that occur more than once."""
+    counts = made.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return store.keep(counts.filter("group_size > 1"), name)
 
 
-def verified(store: Scratch, docs: DataFrame, made: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Recipes whose identifiers stand for one content each.
+def verified(store: Scratch, made: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents and groups whose identifiers stand for one content each.
 
-    Rows of recipes that occur once need no check: equal texts have equal
-    recipes.  For the others min and max of the bytes per identifier agree
-    unless two contents collide; colliding identifiers then get a wider digest.
+    Recipes that occur once need no check: equal texts have equal recipes.
     """
-    repeated = made.groupBy("recipe").agg(F.count("*").alias("n")).filter("n > 1 and size(recipe) > 0").select("recipe")
-    suspects = made.select("doc_id", "recipe").join(repeated, "recipe", "left_semi").select(F.col("doc_id").alias("__suspect")).distinct()
-    bodies = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(suspects, F.col("doc_id").eqNullSafe(F.col("__suspect")), "left_semi")
-    collided = chunk_contents(bodies).groupBy("chunk").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select("chunk")
-    collided = store.keep(collided, "collided")
+    suspects = made.join(groups.select("recipe"), "recipe", "left_semi")
+    pairs = suspects.select(F.explode_outer(F.arrays_zip(F.col("recipe").alias("chunk"), F.col("proofs").alias("proof"))).alias("pair")).select("pair.*")
+    collided = store.keep(pairs.groupBy("chunk").agg(F.min("proof").alias("low"), F.max("proof").alias("high")).filter("low <> high").select("chunk"), "collided")
     if collided.isEmpty():
-        return made
-    return made.withColumn("recipe", F.concat("recipe", F.array(F.unhex("text_sha256"))))
+        return made, groups
+    made = made.withColumn("recipe", F.concat("recipe", F.array(F.unhex("text_sha256"))))
+    return made, grouped(store, made, "groups-verified")
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -126,6 +132,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     ship(spark)
     arrow_sizes(spark)
     store = Scratch(spark, "exact-dedup")
-    made = verified(store, docs, store.keep(recipes(docs, text, key), "recipes"), text, key)
-    groups = made.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return made.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    made = store.keep(recipes(docs, text, key), "recipes")
+    made, groups = verified(store, made, grouped(store, made, "groups"))
+    joined = made.select("doc_id", "recipe", "text_sha256").join(groups, "recipe", "left")
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")

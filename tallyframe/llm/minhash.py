@@ -239,7 +239,7 @@ class Clusters:
         self.reps = self.store.keep(self.all.filter("setkey is not null").groupBy("setkey").agg(F.min("doc_id").alias("rep")), "reps")
         own = self.reps.select(F.col("rep").alias("doc_id"), "setkey")  # joined by id as well: a set that is common has one row here
         nodes = self.all.join(own, ["doc_id", "setkey"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").cast("int").alias("n"), F.explode_outer("bands").alias("hash"))
-        leaders = self.store.keep(nodes.groupBy("hash").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1"), "leaders")
+        leaders = self.store.keep(nodes.groupBy("hash").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1").select("hash", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"), "members"), "leaders")
         self.buckets = self.store.keep(nodes.join(leaders, "hash"), "buckets")
         self.store.drop("leaders")
         wanted = self.buckets.select(F.col("node").alias("wanted")).distinct()
@@ -345,10 +345,9 @@ class Clusters:
 
     def run(self) -> DataFrame:
         """``node, comp`` of every class that has a link."""
-        met = self.buckets.filter("leader < node").groupBy("node", "n", "leader").agg(F.count("*").alias("times"))
-        first = met.groupBy("node", "n").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("leader"))
-        sizes = self.buckets.select(F.col("node").alias("leader"), F.col("n").alias("n_b")).distinct()
-        self.test(first.join(sizes, "leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_a"), "n_b"))
+        met = self.buckets.filter("leader < node").groupBy("node", "n", "leader", "leader_n").agg(F.count("*").alias("times"))
+        first = met.groupBy("node", "n").agg(F.max_by(F.struct("leader", "leader_n"), F.struct("times", -F.col("leader"))).alias("lead"))
+        self.test(first.select(F.col("lead.leader").alias("a"), F.col("node").alias("b"), F.col("lead.leader_n").alias("n_a"), F.col("n").alias("n_b")))
         sets = self.open_sets()
         buckets = self.prefix_buckets(sets)
         self.test_small(buckets)

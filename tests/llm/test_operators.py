@@ -261,16 +261,29 @@ def test_chunks_cover_and_resynchronise():
     assert len(set(parts) & set(moved)) > len(parts) / 2
 
 
-def test_exact_dedup_survives_colliding_identifiers(docs, monkeypatch):
+def test_exact_dedup_survives_colliding_identifiers(docs):
     want = Counter(tuple(r) for r in exact_dedup.exact_dedup(docs).collect())
     spark = docs.sparkSession
     store = Scratch(spark, "collide")
-    made = [(r.doc_id, r.text_sha256, [b"same"] if r.recipe else []) for r in exact_dedup.recipes(docs).collect()]
+    made = [(r.doc_id, r.text_sha256, [b"same"] if r.recipe else [], [bytes(r.proofs[0])] if r.recipe else []) for r in exact_dedup.recipes(docs).collect()]
     bad = spark.createDataFrame(made, exact_dedup.RECIPES)
-    monkeypatch.setattr(exact_dedup, "chunk_contents", lambda df, text="text": spark.createDataFrame([(b"same", b"a"), (b"same", b"b")], exact_dedup.CHUNKS))
-    told = exact_dedup.verified(store, docs, bad)
-    groups = told.groupBy("recipe").count().collect()
-    assert sorted(g["count"] for g in groups) == sorted(Counter(r[4] for r in want.elements()).values())
+    told, groups = exact_dedup.verified(store, bad, exact_dedup.grouped(store, bad, "groups"))
+    assert sorted(g["count"] for g in told.groupBy("recipe").count().collect()) == sorted(Counter(r[4] for r in want.elements()).values())
+    assert sorted(g.group_size for g in groups.collect()) == sorted(n for n in Counter(r[4] for r in want.elements()).values() if n > 1)
+
+
+def test_exact_dedup_moves_no_text(docs):
+    plans = []
+    kept = Scratch.keep
+    Scratch.keep = lambda self, df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(self, df, name))[1]
+    try:
+        out = exact_dedup.exact_dedup(docs)
+    finally:
+        Scratch.keep = kept
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("MapInArrow" in p for p in plans)
+    for plan in plans:
+        assert "MapInArrow" not in plan or "Exchange" not in plan.split("MapInArrow")[0]  # texts are read by the first pass alone
 
 
 def test_line_dedup(spark, empty):
