@@ -12,8 +12,12 @@ owns the range answers with one bit a hash.  A hash is sent once a block however
 often it occurs, so hot passages don't grow any range.  At lower levels the bit
 says that another block has the hash too, and hashes are cut to the bits that
 keep chance matches under one in 256, since those only make extra candidates.
-At ``target`` all 64 bits go, with the smallest document id, and the bit says
-whether the first occurrence of all is in this block.
+At ``target`` all 64 bits go, with a second hash of 64 bits that is taken from the
+words' bytes by other functions, and with the smallest document id; the bit says
+whether the first occurrence of all is in this block.  So windows count as equal
+on 128 bits of independent hashes, and windows that agree on one hash alone are
+told apart.  A message holds one hash at least, so messages never outnumber the
+hashes, though they carry fewer each as blocks and ranges grow in number.
 
 A word covered by a window that also starts earlier (smaller document id, or
 earlier in the same document) is removed; all windows are judged on the input.
@@ -45,7 +49,7 @@ GROUP_BYTES = 32 << 20
 LEAST_RANGES = 256
 NULL_ID = -(1 << 63)
 BLOCKS = "block long, n_docs long, payload binary"
-ASKED = "rng int, block long, n int, keys binary, ids binary"
+ASKED = "rng int, block long, n int, keys binary, checks binary, ids binary"
 ANSWERS = "block long, level int, rng int, bits binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
@@ -106,19 +110,20 @@ def write_blocks(docs: DataFrame, text: str, key: str) -> DataFrame:
 class Block:
     """Words of one block and the levels it has been through."""
 
-    def __init__(self, payload: bytes):
+    def __init__(self, payload: bytes, check: bool = False):
         rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all().combine_chunks()
         self.ids = rows.column(0).to_numpy()
         texts = rows.column(1)
         self.texts = texts.chunk(0) if texts.num_chunks else pa.array([], pa.large_string())
-        parts = [words_of(part) for _, part in pieces(self.texts)]  # byte-wide arrays for a piece at a time
+        parts = [words_of(part, check=check) for _, part in pieces(self.texts)]
         self.hash = np.concatenate([np.zeros(0, U64), *(p.hash for p in parts)])
+        self.second = np.concatenate([np.zeros(0, U64), *(p.prefix[:, -1] for p in parts)]) if check else None
         sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(p.first) for p in parts)])
         self.first = np.concatenate([[0], np.cumsum(sizes)])  # text i has words first[i] .. first[i + 1]
         self.n = len(self.hash)
         self.end = np.repeat(self.first[1:], sizes)  # word index at which its text ends
 
-    def level(self, length: int, within: np.ndarray | None, bits: int) -> None:
+    def level(self, length: int, within: np.ndarray | None, bits: int, last: bool = False) -> None:
         """Candidates of a level: ``within`` has the starts not ruled out below."""
         at = np.arange(max(0, self.n - length + 1))
         fits = at + length <= self.end[: len(at)]
@@ -127,7 +132,17 @@ class Block:
             fits &= within[: len(at)] & within[half : half + len(at)]
         self.at = at[fits]
         keys = runs(self.hash, length)[fits] >> U64(64 - bits)
-        self.keys, self.lead, self.which, self.count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        if not last:
+            self.keys, self.lead, self.which, self.count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+            return
+        checks = runs(self.second, length, 0x9FB21C651E98DF25)[fits]
+        order = np.lexsort((checks, keys))  # stable: the first of equal windows leads
+        keys, checks = keys[order], checks[order]
+        opens = np.ones(len(order), bool)
+        opens[1:] = (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])
+        self.keys, self.checks, self.lead = keys[opens], checks[opens], order[opens]
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(opens) - 1
 
     def flags(self, answer: np.ndarray) -> np.ndarray:
         """Starts whose window occurs again, here or in another block."""
@@ -155,7 +170,8 @@ def _replay(block: Block, answers: list[tuple[int, int, bytes]], lengths: list[i
     """Bring a block to level ``upto`` with the answers to the levels below."""
     within = None
     for level in range(upto + 1):
-        block.level(lengths[level], within, 64 if level == len(lengths) - 1 else bits)
+        last = level == len(lengths) - 1
+        block.level(lengths[level], within, 64 if last else bits, last)
         if level < upto:
             within = block.flags(_answer(block, answers, level))
     return within
@@ -177,7 +193,7 @@ def _ask(lengths: list[int], level: int, bits: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload, answers in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                block = Block(payload)
+                block = Block(payload, last)
                 _replay(block, [(a["level"], a["rng"], a["bits"]) for a in answers or ()], lengths, bits, level)
                 edges = np.searchsorted(block.keys, np.arange(ranges + 1, dtype=U64)[:-1] << U64(shift))
                 edges = np.append(edges, len(block.keys))
@@ -185,7 +201,7 @@ def _ask(lengths: list[int], level: int, bits: int, ranges: int):
                 ids = (block.ids[doc].astype(np.int64) ^ np.int64(NULL_ID)).view(U64) if last else None
                 full = np.flatnonzero(np.diff(edges))
                 slices = [(int(r), int(edges[r]), int(edges[r + 1])) for r in full]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in slices], pa.int32()), pa.array([number] * len(slices), pa.int64()), pa.array([hi - lo for _, lo, hi in slices], pa.int32()), pa.array([pack_sorted(block.keys[lo:hi]) for _, lo, hi in slices], pa.binary()), pa.array([pack_numbers(ids[lo:hi] - ids[lo:hi].min()) + int(ids[lo:hi].min()).to_bytes(8, "little") if last else None for _, lo, hi in slices], pa.binary())], names=["rng", "block", "n", "keys", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in slices], pa.int32()), pa.array([number] * len(slices), pa.int64()), pa.array([hi - lo for _, lo, hi in slices], pa.int32()), pa.array([pack_sorted(block.keys[lo:hi]) for _, lo, hi in slices], pa.binary()), pa.array([block.checks[lo:hi].tobytes() if last else None for _, lo, hi in slices], pa.binary()), pa.array([pack_numbers(ids[lo:hi] - ids[lo:hi].min()) + int(ids[lo:hi].min()).to_bytes(8, "little") if last else None for _, lo, hi in slices], pa.binary())], names=["rng", "block", "n", "keys", "checks", "ids"])
 
     return run
 
@@ -197,9 +213,10 @@ def _reply(level: int, last: bool):
         owner = np.repeat(np.arange(len(blocks)), sizes)
         if last:
             ids = np.concatenate([unpack_numbers(d[:-8], n) + U64(int.from_bytes(d[-8:], "little")) for d, n in zip(group.column("ids").to_pylist(), sizes, strict=True)])
-            order = np.lexsort((blocks[owner], ids, keys))
+            checks = np.frombuffer(b"".join(group.column("checks").to_pylist()), U64)
+            order = np.lexsort((blocks[owner], ids, checks, keys))
             lead = np.ones(len(order), bool)
-            lead[1:] = keys[order][1:] != keys[order][:-1]
+            lead[1:] = (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])
             bit = np.zeros(len(keys), bool)
             bit[order[lead]] = True
         else:
@@ -224,10 +241,11 @@ def _remove(lengths: list[int], bits: int, with_text: bool):
         last = len(lengths) - 1
         for batch in batches:
             for payload, answers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                block = Block(payload)
                 answers = [(a["level"], a["rng"], a["bits"]) for a in answers or ()]
+                told = any(at == last for at, _, _ in answers)
+                block = Block(payload, told)
                 gone = np.zeros(block.n, bool)
-                if any(at == last for at, _, _ in answers):
+                if told:
                     _replay(block, answers, lengths, bits, last)
                     starts = np.flatnonzero(block.repeats(_answer(block, answers, last)))
                     change = np.zeros(block.n + 1, np.int64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_OTHER = 0xC2B2AE3D27D4EB4F
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,17 +25,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _SCRAMBLE = mix(np.arange(1, 257, dtype=U64) * U64(0x632BE59BD9B4E019))
-_POWERS: dict[str, np.ndarray] = {}
+_SECOND = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, factor in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, factor, U64)
+def _powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        found = []
+        for factor in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(n if n > 1 << 21 else 1 << max(16, (n - 1).bit_length()), factor, U64)
             steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+            found.append(np.multiply.accumulate(steps))
+        if n > 1 << 21:  # a word of megabytes: not kept
+            return found[0], found[1]
+        _POWERS[base] = found[0], found[1]
+    return _POWERS[base]
 
 
 def table_of(predicate) -> np.ndarray:
@@ -58,7 +62,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # text i has words first[i] .. first[i + 1]
-    prefix: np.ndarray  # hashes of prefixes, [word, prefix]
+    prefix: np.ndarray  # hashes of prefixes, then the second hash of the word, [word, which]
 
     def text(self, i: int) -> np.ndarray:
         return np.arange(self.first[i], self.first[i + 1])
@@ -87,12 +91,16 @@ def segments(data: np.ndarray, inside: np.ndarray, nbytes: int = 1 << 20) -> Ite
         lo = hi
 
 
-def words_of(column: pa.Array, inside: np.ndarray = NOT_SPACE, lower: bool = False, prefixes: tuple[int, ...] = ()) -> Words:
-    """Words of a batch of texts; ``prefixes`` also hashes the first so many bytes of each."""
+def words_of(column: pa.Array, inside: np.ndarray = NOT_SPACE, lower: bool = False, prefixes: tuple[int, ...] = (), check: bool = False) -> Words:
+    """Words of a batch of texts.
+
+    ``prefixes`` also hashes the first so many bytes of each word, ``check`` the
+    word once more, by a function that shares nothing with the first.
+    """
     data, offsets = text_bytes(column)
     if lower:
         data = LOWER[data]
-    starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(prefixes)), U64)]
+    starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 1 + len(prefixes) + check), U64)]
     for lo, hi in segments(data, inside):
         part, n = data[lo:hi], hi - lo
         word = np.zeros(n + 2, bool)
@@ -105,10 +113,14 @@ def words_of(column: pa.Array, inside: np.ndarray = NOT_SPACE, lower: bool = Fal
         up, down = _powers(n + 1)
         sums = np.zeros(n + 1, U64)
         np.cumsum(_SCRAMBLE[part] * up[:n], out=sums[1:])
-        found = np.empty((len(start), 1 + len(prefixes)), U64)
+        found = np.empty((len(start), 1 + len(prefixes) + check), U64)
         found[:, 0] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
         for j, size in enumerate(prefixes, 1):
             found[:, j] = mix((sums[np.minimum(end, start + size)] - sums[start]) * down[start] + U64(0x51ED270B * j))
+        if check:
+            up, down = _powers(n + 1, _OTHER)
+            np.cumsum(_SECOND[part] * up[:n], out=sums[1:])
+            found[:, -1] = mix((sums[end] - sums[start]) * down[start] ^ (end - start).astype(U64))
         starts.append(start + lo)
         ends.append(end + lo)
         hashes.append(found)
@@ -116,7 +128,7 @@ def words_of(column: pa.Array, inside: np.ndarray = NOT_SPACE, lower: bool = Fal
     return Words(data, start, np.concatenate(ends), np.ascontiguousarray(every[:, 0]), np.searchsorted(start, offsets), every[:, 1:])
 
 
-def runs(hashes: np.ndarray, k: int) -> np.ndarray:
+def runs(hashes: np.ndarray, k: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """Hash of every ``k`` consecutive words; the caller heeds text ends."""
     n = len(hashes) - k + 1
     if n <= 0:
@@ -124,7 +136,7 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     total = np.zeros(n, U64)
     factor = 1
     for j in range(k):
-        factor = (factor * 0xD6E8FEB86659FD93) % (1 << 64)
+        factor = (factor * base) % (1 << 64)
         total += hashes[j : j + n] * U64(factor)
     return mix(total)
 

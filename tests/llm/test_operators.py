@@ -198,6 +198,32 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_dedup(empty).collect() == []
 
 
+def packed_block(rows):
+    import zstandard
+
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.large_string())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return substring_dedup.Block(zstandard.ZstdCompressor().compress(sink.getvalue().to_pybytes()), True)
+
+
+def test_substring_windows_are_told_apart_when_hashes_collide():
+    """Every word gets one first hash, so only the second tells windows apart."""
+    words_a, words_b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(25)]
+    block = packed_block([(1, " ".join(words_a)), (2, " ".join(words_b)), (3, " ".join(words_a))])
+    block.hash[:] = 5
+    block.level(20, None, 64, True)
+    assert len(np.unique(block.keys)) == 1 and len(block.keys) == 11 + 6
+    assert block.repeats(np.ones(len(block.keys), bool)).nonzero()[0].tolist() == [*range(55, 66)]
+    key = np.array([9], np.uint64)
+    one = {"rng": 0, "n": 1, "keys": substring_dedup.pack_sorted(key), "ids": substring_dedup.pack_numbers(np.zeros(1, np.uint64)) + (3).to_bytes(8, "little")}
+    rows = [one | {"block": b, "checks": np.array([c], np.uint64).tobytes()} for b, c in ((1, 7), (2, 8), (3, 7))]
+    group = pa.Table.from_pylist(rows, pa.schema([("rng", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary())]))
+    bits = {r["block"]: r["bits"][4] >> 7 for r in substring_dedup._reply(2, True)(group).to_pylist()}
+    assert bits == {1: 1, 2: 1, 3: 0}
+
+
 def test_number_packing():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
