@@ -33,6 +33,8 @@ WINDOW, GRAM, SPAN = 10, 5, 6
 BROADCAST_ROWS = 200_000
 #: Fixed value: everything that is not part of a word.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same, from the other side and before lower-casing, to count words without making them.
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
@@ -44,9 +46,13 @@ def _least(hashes: Column) -> Column:
 
 
 def with_fingerprints(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``__words``, ``__grams`` and ``__prints`` step by step, each computed once."""
-    word = F.col("__words")
-    hashed = df.withColumn("__words", words(F.col(text))).withColumn("__grams", F.transform(word, lambda w, i: F.xxhash64(w, *[F.get(word, i + j) for j in range(1, GRAM)])))
+    """Adds ``__words``, ``__codes``, ``__grams`` and ``__prints`` step by step, each computed once.
+
+    A word is hashed once, and a gram is a hash of its words' hashes.
+    """
+    code = F.col("__codes")
+    hashed = df.withColumn("__words", words(F.col(text))).withColumn("__codes", F.transform("__words", lambda w: F.xxhash64(w)))
+    hashed = hashed.withColumn("__grams", F.transform(code, lambda c, i: F.xxhash64(c, *[F.get(code, i + j) for j in range(1, GRAM)])))
     return hashed.withColumn("__prints", _least(F.col("__grams")))
 
 
@@ -68,7 +74,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, store: Scratch, text: str = "tex
     ``__hash`` tells apart rows that share an id but not a text.
     """
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("__text"))
-    items = store.keep(with_fingerprints(items, "__text").filter(F.size("__words") > 0).withColumn("__length", F.least(F.size("__words"), F.lit(WINDOW))).drop("__text", "__grams"), "items")
+    items = store.keep(with_fingerprints(items, "__text").filter(F.size("__words") > 0).withColumn("__length", F.least(F.size("__words"), F.lit(WINDOW))).drop("__text", "__codes", "__grams"), "items")
     wanted = store.keep(items.select("item", "__length", F.explode_outer(windows(F.col("__words"), F.col("__length"))).alias("__window")).filter(F.col("__window").isNotNull()).distinct(), "windows")
     lengths = sorted(r[0] for r in wanted.select("__length").distinct().collect())  # at most ten values
     rows = docs.select(F.col(key).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
@@ -114,7 +120,7 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     """One row for each document: words, words hit, items found, verdict."""
     store = Scratch(docs.sparkSession, "decontam")
     found, _ = _few(hits(docs, benchmark, store, text, key, item, item_text))
-    rows = docs.select(F.col(key).alias(key), F.xxhash64(F.col(text)).alias("__dhash"), F.size(words(F.col(text))).cast("long").alias("n_words"))
+    rows = docs.select(F.col(key).alias(key), F.xxhash64(F.col(text)).alias("__dhash"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     joined = rows.join(found, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__dhash") == F.col("__hash")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
