@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +44,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return a scan of what was written."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str, records: int = 1000, megabytes: int = 8) -> DataFrame:
+        """Write ``df`` once and return a scan of what was written.
+
+        Meanwhile an Arrow batch holds at most so many rows and megabytes; the
+        session's own setting is put back.
+        """
+        with batches_of(self.spark, records, megabytes):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -68,10 +75,29 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def arrow_sizes(spark: SparkSession, records: int = 2000, megabytes: int = 16) -> None:
-    """Bound what one Arrow batch holds, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+@contextmanager
+def batches_of(spark: SparkSession, records: int, megabytes: int) -> Iterator[None]:
+    """Bound what one Arrow batch holds while a job runs, by rows and by bytes."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(records), "spark.sql.execution.arrow.maxBytesPerBatch": str(megabytes << 20)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def unused(names: list[str], *wanted: str) -> tuple[str, ...]:
+    """Column names like those wanted that none of ``names`` clashes with."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

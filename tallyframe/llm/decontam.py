@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii
+from .common import Scratch, lower_ascii, unused
 
 WINDOW, GRAM, SPAN = 10, 5, 6
 BROADCAST_ROWS = 200_000
@@ -130,5 +130,6 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that hold a benchmark window."""
     store = Scratch(docs.sparkSession, "decontam")
-    found, _ = _few(hits(docs, benchmark, store, text, key).select("__id", "__hash"))
-    return docs.join(found, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash")), "left_anti")
+    own, hashed = unused(docs.columns, "__id", "__hash")
+    found, _ = _few(hits(docs, benchmark, store, text, key).select(F.col("__id").alias(own), F.col("__hash").alias(hashed)))
+    return docs.join(found, F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text)) == F.col(hashed)), "left_anti")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_sizes, ship
+from .common import Scratch, ship
 from .words import pieces
 
 RECIPES = "doc_id long, text_sha256 string, recipe array<binary>, proofs array<binary>"
@@ -130,7 +130,6 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """One row for each input row: its group's survivor, size and digest."""
     spark = docs.sparkSession
     ship(spark)
-    arrow_sizes(spark)
     store = Scratch(spark, "exact-dedup")
     made = store.keep(recipes(docs, text, key), "recipes")
     made, groups = verified(store, made, grouped(store, made, "groups"))

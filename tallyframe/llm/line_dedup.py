@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused
 
 BROADCAST_LINES = 200_000
 LEAST_PAGES = 3
@@ -70,14 +70,15 @@ def line_dedup(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 10, sit
     """``docs`` with boilerplate lines taken out, plus ``n_lines`` and ``n_dropped``."""
     store = Scratch(docs.sparkSession, "line-dedup")
     drop = store.keep(boilerplate(docs, max_ratio, min_pages, site, text, small_ratio, per_text), "boilerplate")
-    by_site = drop.groupBy(F.col("__site").alias("__of")).agg(F.collect_list("__key").alias("__drop"))
+    of, listed, left = unused(docs.columns, "__of", "__drop", "__kept")
+    by_site = drop.groupBy(F.col("__site").alias(of)).agg(F.collect_list("__key").alias(listed))
     if drop.count() <= BROADCAST_LINES:
         by_site = F.broadcast(by_site)
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col("__drop"), line_key(line)), F.lit(False)))
-    joined = docs.join(by_site, F.col(site).eqNullSafe(F.col("__of")), "left")
-    cleaned = joined.withColumn("__kept", F.when(F.col("__drop").isNull(), lines).otherwise(kept))
-    n_lines, n_kept = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("__kept"), F.lit(0))
+    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col(listed), line_key(line)), F.lit(False)))
+    joined = docs.join(by_site, F.col(site).eqNullSafe(F.col(of)), "left")
+    cleaned = joined.withColumn(left, F.when(F.col(listed).isNull(), lines).otherwise(kept))
+    n_lines, n_kept = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(left), F.lit(0))
     n_lines, n_kept = F.greatest(n_lines, F.lit(0)), F.greatest(n_kept, F.lit(0))
-    made = {text: F.array_join("__kept", "\n"), "n_lines": n_lines.cast("long"), "n_dropped": (n_lines - n_kept).cast("long")}
+    made = {text: F.array_join(left, "\n"), "n_lines": n_lines.cast("long"), "n_dropped": (n_lines - n_kept).cast("long")}
     return cleaned.select(*[made[c].alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")], made["n_lines"].alias("n_lines"), made["n_dropped"].alias("n_dropped"))

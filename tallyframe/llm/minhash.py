@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_sizes, ship
+from .common import Scratch, ship, unused
 from .components import components
 from .words import U64, Words, mix, pieces, runs, words_of
 
@@ -233,7 +233,6 @@ class Clusters:
     def __init__(self, docs: DataFrame, bands: int, rows: int, percent: int, text: str, key: str):
         self.spark, self.percent = docs.sparkSession, percent
         ship(self.spark)
-        arrow_sizes(self.spark, 1000, 8)
         self.store = Scratch(self.spark, "minhash")
         self.all = self.store.keep(sketched(docs, bands, rows, text, key), "sketched")
         self.reps = self.store.keep(self.all.filter("setkey is not null").groupBy("setkey").agg(F.min("doc_id").alias("rep")), "reps")
@@ -375,8 +374,9 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **opti
     have none, are told apart.
     """
     order = [F.col(key).asc_nulls_last(), F.xxhash64(text)]
-    numbered = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
+    row, gone_row = unused(docs.columns, "__row", "__gone")
+    numbered = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id())
     numbered = Scratch(docs.sparkSession, "minhash-rows").keep(numbered, "numbered")
-    found = classes(numbered, text=text, key="__row", **options)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return numbered.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
+    found = classes(numbered, text=text, key=row, **options)
+    gone = found.filter("not kept").select(F.col("doc_id").alias(gone_row))
+    return numbered.join(gone, F.col(row) == F.col(gone_row), "left_anti").select(*docs.columns)

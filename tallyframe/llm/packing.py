@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import Scratch, arrow_sizes, ship
+from .common import Scratch, ship
 
 ENCODED = "pid int, doc_id long, ids binary, n_tokens long, before long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long, ids binary"
@@ -56,40 +56,40 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, t
     """
     spark = docs.sparkSession
     ship(spark)
-    arrow_sizes(spark, 1000, 8)
     store = Scratch(spark, "packing")
     encoded = store.keep(encode_documents(docs, tokenizer, end_id, text, key), "encoded")
-    # one row for each partition of pass one
-    totals = sorted(encoded.groupBy("pid").agg(F.sum("n_tokens").alias("n")).collect())
-    offsets, total = {}, 0
-    for pid, n in totals:
-        offsets[pid] = total
-        total += n
-    shared = spark.sparkContext.broadcast(offsets)
-    tail_start, tail = total - total % window, total % window
-    tail_padded = tail if tail & (tail - 1) == 0 else window
+    # a row for each partition of pass one, whatever its documents
+    totals = encoded.groupBy("pid").agg(F.sum("n_tokens").alias("n"))
+    offsets = totals.select(F.col("pid"), (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("offset"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    placed = encoded.join(F.broadcast(offsets), "pid").select("doc_id", "ids", "n_tokens", (F.col("offset") + F.col("before")).alias("at"), "total")
     width = encoder(tokenizer).width
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offset_of = shared.value
         for batch in batches:
-            rows: list[tuple] = []
-            for pid, doc, ids, n, before in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                wide = np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
-                at, start = offset_of[pid] + before, 0
-                while start < n:
-                    place = at + start
-                    length = min(window - place % window, n - start)
-                    piece = wide[4 * start : 4 * (start + length)]
-                    rows.append((doc, start, length, zlib.crc32(piece), n, place // window, place % window, tail_padded if place >= tail_start else window, piece if with_ids else None))
-                    start += length
-            yield from _batches(rows)
-
-    return encoded.select("pid", "doc_id", "ids", "n_tokens", "before").mapInArrow(cut, PIECES)
-
-
-def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(batch), 1000):
+                yield cut_batch(batch.slice(lo, 1000), window, width, with_ids)
+
+    return placed.mapInArrow(cut, PIECES)
+
+
+def cut_batch(batch: pa.RecordBatch, window: int, width: int, with_ids: bool) -> pa.RecordBatch:
+    """Pieces of the documents ``doc_id, ids, n_tokens, at, total``; their ids stand on end as they are cut."""
+    n, at, total = (batch.column(i).to_numpy() for i in (2, 3, 4))
+    ids = np.frombuffer(b"".join(batch.column(1).to_pylist()), f"<u{width}").astype("<u4")
+    first, counts = at // window, (at + n - 1) // window - at // window + 1
+    doc = np.repeat(np.arange(len(n)), counts)
+    sequence = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = np.maximum(at[doc], sequence * window)
+    length = np.minimum((sequence + 1) * window, at[doc] + n[doc]) - place
+    ends = 4 * np.concatenate([[0], np.cumsum(length)])
+    view = memoryview(ids.tobytes())
+    crc = np.fromiter((zlib.crc32(view[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), np.int64, len(doc))
+    tail = total[doc] % window
+    short = (place >= total[doc] - tail) & (tail & (tail - 1) == 0)
+    numbers = [place - at[doc], length, crc, n[doc], sequence, place - sequence * window, np.where(short, tail, window)]
+    if with_ids:
+        pieces = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(view)])
+    else:
+        pieces = pa.nulls(len(doc), pa.binary())
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length", "ids"]
-    if rows:
-        *numbers, ids = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(ids, pa.binary())], names=names)
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in numbers), pieces], names=names)

@@ -14,7 +14,8 @@ sorts first.  A lookup reads footer, filter and index, finds the block by
 binary search and scans that block alone.
 
 Shards are range-partitioned by key and written under attempt-unique names in
-the shared folder.  Only those in the stored manifest are ever read, so lost
+the shared folder, through the file systems that Arrow knows (local, HDFS, S3,
+GCS).  Only those in the stored manifest are ever read, so lost
 executors and repeated attempts leave no trace in a result.  Null texts are
 empty (end id only), repeated ids keep all their rows, an empty table has an
 empty manifest, extra columns are ignored.
@@ -32,11 +33,11 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import Scratch, arrow_sizes, partitions_for, ship
+from .common import Scratch, partitions_for, ship
 
 MAGIC = b"TFSST001"
 FOOTER = struct.Struct("<QQQQQQII8s")  # index, filter, end, docs, ids, hashes, width, crc, magic
@@ -180,7 +181,6 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, text: str = "
     """Encode documents, write shards in key order, return the stored manifest."""
     spark = docs.sparkSession
     ship(spark)
-    arrow_sizes(spark, 1000, 8)
     store = Scratch(spark, "sstable")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     nbytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -212,12 +212,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     Shard starts are a prefix sum over the manifest, one row for each shard.
     """
-    spark = manifest.sparkSession
-    starts, total = [], 0
-    for row in sorted(manifest.select("shard", "uri", "n_ids").collect()):
-        starts.append((row.uri, total))
-        total += row.n_ids
-    listed = spark.createDataFrame(starts or [("", 0)], "uri string, start long").filter("uri <> ''").repartition(max(1, len(starts)))
+    starts = F.sum("n_ids").over(Window.orderBy("shard", "uri")) - F.col("n_ids")
+    listed = manifest.select("uri", starts.alias("start")).repartition(max(1, manifest.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

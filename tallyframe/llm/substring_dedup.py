@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_sizes, ship
+from .common import Scratch, ship
 from .words import U64, pieces, runs, words_of
 
 BLOCK_BYTES = 4 << 20
@@ -159,6 +159,12 @@ class Block:
         return out
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch, each made when it is its turn."""
+    for i in range(len(batch)):
+        yield tuple(column[i].as_py() for column in batch.columns)
+
+
 def _levels(target: int) -> list[int]:
     out = [target]
     while out[0] % 2 == 0 and out[0] > 9:
@@ -192,7 +198,7 @@ def _ask(lengths: list[int], level: int, bits: int, ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, payload, answers in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for number, payload, answers in one_by_one(batch):
                 block = Block(payload, last)
                 _replay(block, [(a["level"], a["rng"], a["bits"]) for a in answers or ()], lengths, bits, level)
                 edges = np.searchsorted(block.keys, np.arange(ranges + 1, dtype=U64)[:-1] << U64(shift))
@@ -240,7 +246,7 @@ def _remove(lengths: list[int], bits: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = len(lengths) - 1
         for batch in batches:
-            for payload, answers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for _, payload, answers in one_by_one(batch):
                 answers = [(a["level"], a["rng"], a["bits"]) for a in answers or ()]
                 told = any(at == last for at, _, _ in answers)
                 block = Block(payload, told)
@@ -271,15 +277,12 @@ def substring_dedup(docs: DataFrame, target: int = 20, text: str = "text", key:
     """One row for each document: its words, those removed, and what is kept."""
     spark = docs.sparkSession
     ship(spark)
-    arrow_sizes(spark, 1000, 8)
     store, lengths = Scratch(spark, "substring"), _levels(target)
     blocks = store.keep(write_blocks(docs, text, key), "blocks")
     nbytes = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     words = max(1, nbytes // 4)
     bits = min(64, max(32, words.bit_length() + 8))
     ranges = 1 << max(LEAST_RANGES.bit_length() - 1, int(words * 8 // GROUP_BYTES).bit_length())
-    # a block is a few megabytes: one at a time
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     answers = None
 
     def answered() -> DataFrame:
@@ -291,7 +294,7 @@ def substring_dedup(docs: DataFrame, target: int = 20, text: str = "text", key:
     for level in range(len(lengths)):
         last = level == len(lengths) - 1
         asked = answered().mapInArrow(_ask(lengths, level, bits, ranges), ASKED)
-        said = store.keep(asked.groupBy("rng").applyInArrow(_reply(level, last), ANSWERS), f"answers-{level}")
+        said = store.keep(asked.groupBy("rng").applyInArrow(_reply(level, last), ANSWERS), f"answers-{level}", records=4)  # a block is a few megabytes
         if said.isEmpty():
             break
         answers = said if answers is None else answers.unionByName(said)

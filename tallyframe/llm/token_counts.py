@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, encoder
-from .common import arrow_sizes, ship
+from .common import ship
 from .words import U64, mix, pieces
 
 L, N, SP, WS, O, AP, ONE, R, V, LL, E, END = range(12)
@@ -309,7 +309,6 @@ def compiles(tokenizer: str) -> bool:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every text."""
     ship(docs.sparkSession)
-    arrow_sizes(docs.sparkSession, 1000, 8)
     count = _count_fst if compiles(tokenizer) else _count_library
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_sizes, ship
+from .common import ship
 from .words import LETTERS, U64, pieces, words_of
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
@@ -261,7 +261,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     """``doc_id, held_out, score, predicted, threshold, rejected`` of every text."""
     spark = docs.sparkSession
     ship(spark)
-    arrow_sizes(spark, 1000, 8)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +278,6 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", lang: str = "l
     """``docs`` without the rows whose score reaches their language's threshold."""
     spark = docs.sparkSession
     ship(spark)
-    arrow_sizes(spark, 1000, 8)
     shared = spark.sparkContext.broadcast(model)
     at_text, at_lang = docs.columns.index(text), docs.columns.index(lang)
 

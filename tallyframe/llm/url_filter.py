@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_sizes, ship
+from .common import ship
 
 STAR, DEEP = 256, 257
+FEW = 8
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,17 @@ class ShiftAnd:
                 if DEEP not in loops:
                     self.loop[0x2F, word] &= ~bit
         self.finals = np.array(finals, np.int64)
+        self.wide: list[tuple[int, int]] | None = None
+
+    def run_on(self, state: int, data: bytes) -> int:
+        """The automaton over one text from a state on, as one number of all words."""
+        if self.wide is None:
+            self.wide = [(int.from_bytes(self.step[b].tobytes(), "little"), int.from_bytes(self.loop[b].tobytes(), "little")) for b in range(256)]
+        wide = self.wide
+        for byte in data:
+            step, loop = wide[byte]
+            state = ((state << 1) & step) | (state & loop)
+        return state
 
     def match(self, texts: Sequence[bytes]) -> np.ndarray:
         """Boolean matrix, texts x globs.  Lanes leave as their text ends."""
@@ -95,11 +107,14 @@ class ShiftAnd:
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])[order] if n else size
         size = size[order]
         state = np.tile(self.start, (n, 1))
-        live = n
+        live, few = n, []
         carry = np.zeros((n, self.words), np.uint64)
         for at in range(int(size[0]) if n else 0):
             while live and size[live - 1] <= at:
                 live -= 1
+            if live <= FEW:
+                few = list(range(live))
+                break
             now = state[:live]
             byte = data[begin[:live] + at]
             moved = carry[:live]
@@ -108,6 +123,9 @@ class ShiftAnd:
             moved &= self.step[byte]
             now &= self.loop[byte]
             now |= moved
+        for lane in few:  # the rest of the longest texts, a whole state at a time
+            rest = data[begin[lane] + at : begin[lane] + size[lane]].tobytes()
+            state[lane] = np.frombuffer(self.run_on(int.from_bytes(state[lane].tobytes(), "little"), rest).to_bytes(8 * self.words, "little"), np.uint64)
         bits = (state[:, self.finals >> 6] >> (self.finals & 63).astype(np.uint64)) & np.uint64(1)
         out = np.empty((n, len(self.finals)), bool)
         out[order] = bits.astype(bool)
@@ -121,7 +139,6 @@ def judge(df: DataFrame, rules: Sequence[Rule], default: str = "allow", url: str
     globs, block before allow; then ``default``.
     """
     ship(df.sparkSession)
-    arrow_sizes(df.sparkSession)
     labelled = sorted((r for r in rules if r.label is not None), key=lambda r: -r.weight)
     plain = [r for r in rules if r.label is None]
     ordered = labelled + [r for r in plain if r.verdict == "block"] + [r for r in plain if r.verdict != "block"]

@@ -264,6 +264,30 @@ def test_shift_and_many_words():
     assert [globs[i] for i in np.flatnonzero(hits[2])] == ["**"] and hits[3].sum() == 2
 
 
+def test_shift_and_runs_on_with_few_lanes(monkeypatch):
+    machine = url_filter.ShiftAnd([f"*a{i}b*" for i in range(40)] + ["**", "/*/x**", "abc"])
+    texts = [b"a" + str(i).encode() + b"b" * i + b"/" * (i % 3) for i in range(30)] + [b"/q/x" * 900, b"", b"abc"]
+    one = machine.match(texts)
+    monkeypatch.setattr(url_filter, "FEW", 0)
+    assert np.array_equal(one, machine.match(texts)) and one[:, -3].all()
+
+
+def test_columns_come_back_whatever_their_names(spark, docs, bench):
+    names = [c for c in docs.columns if c.startswith("__")]
+    want = Counter(tuple(r) for r in docs.select("doc_id", *names).collect())
+    assert Counter(tuple(r) for r in line_dedup.line_dedup(docs).select("doc_id", *names).collect()) == want
+    for out in (decontam.decontaminate(docs, bench), minhash.deduplicate(docs)):
+        assert out.columns == docs.columns and not Counter(tuple(r) for r in out.select("doc_id", *names).collect()) - want
+
+
+def test_session_settings_are_left_alone(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    substring_dedup.substring_dedup(docs).collect()
+    token_counts.token_counts(docs, bpe.vocabulary()).collect()
+    assert spark.conf.get(name) == before
+
+
 def test_exact_dedup(docs, empty):
     rows = docs.select("doc_id", "text").collect()
     groups = defaultdict(list)

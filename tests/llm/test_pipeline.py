@@ -29,3 +29,17 @@ def test_stages(spark):
     assert 0 < left.count() < before
     packed = stage["packing"](spark, left, SF).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in left.collect()}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the sample tables")
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_stages_on_odd_tables(spark, docs, empty, kind):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns, no rows."""
+    given = docs if kind == "odd" else empty
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, given, SF).cache()
+        assert out.columns == given.columns, name
+        assert out.count() <= given.count(), name
+        given = out
+    pieces = pipeline.STAGES[-1][1](spark, given, SF).collect()
+    assert len({r.doc_id for r in pieces}) == given.select("doc_id").distinct().count()
