@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import MeasureError
-from ..functions.expr import Predicate, divide, finite, guarded
+from ..functions.expr import Col, Predicate, divide, finite, guarded
 from .binning import BaseTransformer, QuantileBinner
 
 
@@ -246,23 +246,33 @@ class Transition:
 
 @dataclass(frozen=True)
 class Funnel:
-    """Expands to quantities of stages and rates between them."""
+    """Expands to quantities of stages and rates between them.
 
-    stages: Sequence[Stage]
+    A stage may be the plain name of the column that it sums or counts.
+    """
+
+    stages: Sequence[Stage | str]
     aggregation: str = "sum"
     rates: str | Sequence[Transition] = "adjacent"
     quantity_name: str = "{stage}_count"
     rate_name: str = "{source}_to_{target}_rate"
 
+    def stage(self, given: Stage | str) -> Stage:
+        """A plain name counts where the column is known, or sums it."""
+        if not isinstance(given, str):
+            return given
+        return Stage(given, where=Col(given).notna()) if self.aggregation == "count" else Stage(given)
+
     def measures(self) -> tuple[BaseMeasure, ...]:
-        names = [s.name for s in self.stages]
+        stages = [self.stage(s) for s in self.stages]
+        names = [s.name for s in stages]
         if len(names) < 2 or len(set(names)) != len(names):
             raise MeasureError("a funnel has two stages or more, with distinct names")
         if self.aggregation not in ("sum", "count"):
             raise MeasureError("aggregation is 'sum' or 'count'")
         quantity = {n: self.quantity_name.format(stage=n) for n in names}
         out: list[BaseMeasure] = []
-        for s in self.stages:
+        for s in stages:
             if self.aggregation == "sum":
                 out.append(Sum(s.column or s.name, quantity[s.name], where=s.where))
             else:

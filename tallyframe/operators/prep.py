@@ -7,7 +7,7 @@ import math
 import os
 import re
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..errors import ArtifactError, DataPrepError, NotFittedError
 from ..functions.expr import finite, nan_to_null
+from ..functions.quantiles import exact_quantiles
 from .quality import missing, to_double
 
 #: Strftime directives and the datetime pattern letters they mean.
@@ -269,27 +270,40 @@ class _Fitted(BasePrepStep):
 
 
 class MissingImputer(_Fitted):
-    """Mean, median, most frequent (smallest on ties) or a constant for missing values."""
+    """Mean, median, most frequent (smallest on ties) or a constant for missing values.
 
-    def __init__(self, columns, strategy: str = "median", fill_value: Any = None, add_indicator: bool = False, keep_empty_features: bool = True, output: str = "replace", output_columns=None):
+    ``strategy`` may also be a function from the column of known values to an
+    aggregate, such as ``F.max``.  ``missing_values`` names one more value that
+    counts as missing.  Medians come from exact quantiles that don't gather a
+    column in one task.
+    """
+
+    def __init__(self, columns, strategy: str | Callable[[Column], Column] = "median", fill_value: Any = None, add_indicator: bool = False, keep_empty_features: bool = True, output: str = "replace", output_columns=None, missing_values: Any = None):
         super().__init__(columns, output, output_columns, "_imputed")
-        if strategy not in ("mean", "median", "most_frequent", "constant"):
+        if not callable(strategy) and strategy not in ("mean", "median", "most_frequent", "constant"):
             raise DataPrepError(f"unknown strategy {strategy}")
-        self.strategy, self.fill_value, self.add_indicator, self.keep_empty_features = strategy, fill_value, add_indicator, keep_empty_features
+        self.strategy, self.fill_value, self.add_indicator, self.keep_empty_features, self.missing_values = strategy, fill_value, add_indicator, keep_empty_features, missing_values
+
+    def lost(self, df, c):
+        absent = missing(df, c)
+        return absent if self.missing_values is None else absent | F.col(c).eqNullSafe(F.lit(self.missing_values))
 
     def aggregates(self, df):
-        out = {f"{c}|missing": F.count_if(missing(df, c)) for c in self.columns}
+        out = {f"{c}|missing": F.count_if(self.lost(df, c)) for c in self.columns}
         for c in self.columns:
-            known = F.when(~missing(df, c), F.col(c))
-            if self.strategy == "mean":
+            known = F.when(~self.lost(df, c), F.col(c))
+            if callable(self.strategy):
+                out[c] = self.strategy(known)
+            elif self.strategy == "mean":
                 out[c] = F.avg(known.cast("double"))
-            elif self.strategy == "median":
-                out[c] = F.median(known.cast("double"))
             elif self.strategy == "most_frequent":
                 out[c] = F.mode(known, True)
         return out
 
     def learn(self, df, got):
+        if self.strategy == "median":
+            known = df.select(*[F.when(~self.lost(df, c), F.col(c).cast("double")).alias(c) for c in self.columns])
+            got = got | {c: (exact_quantiles(known, c, [0.5]) or [None])[0] for c in self.columns}
         fills = {c: self.fill_value if self.strategy == "constant" else got[c] for c in self.columns}
         for c, v in fills.items():
             if v is None and self.strategy != "constant" and self.keep_empty_features:
@@ -304,14 +318,14 @@ class MissingImputer(_Fitted):
                 continue
             kind = df.schema[c].dataType
             base = F.col(c).cast("double") if isinstance(kind, T.IntegralType) and isinstance(fill, float) and not fill.is_integer() else F.col(c)
-            known = F.when(~missing(df, c), base)
+            known = F.when(~self.lost(df, c), base)
             out[self.target(c)] = F.coalesce(known, F.lit(fill))
         if self.add_indicator:
-            out |= {f"{c}_missing": missing(df, c).cast("int") for c in self.state["had_missing"]}
+            out |= {f"{c}_missing": self.lost(df, c).cast("int") for c in self.state["had_missing"]}
         return out
 
     def audit(self, df):
-        return {f"{c}.imputed": F.count_if(missing(df, c)) for c in self.columns}
+        return {f"{c}.imputed": F.count_if(self.lost(df, c)) for c in self.columns}
 
 
 class StandardScaler(_Fitted):
@@ -331,12 +345,12 @@ class RobustScaler(StandardScaler):
     """(x - median) / interquartile range."""
 
     def aggregates(self, df):
-        return {c: F.percentile(finite(F.col(c)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in self.columns}
+        return {}
 
     def learn(self, df, got):
         out = {}
-        for c, q in got.items():
-            lo, mid, hi = q or (0.0, 0.0, 1.0)
+        for c in self.columns:
+            lo, mid, hi = exact_quantiles(df, c, [0.25, 0.5, 0.75]) or (0.0, 0.0, 1.0)
             out |= {f"{c}|center": mid, f"{c}|scale": hi - lo}
         return out
 
@@ -383,20 +397,33 @@ class OrdinalEncoder(_Categories):
 
 
 class KBins(_Fitted):
-    """Left-closed bins with codes from 0; uniform, quantile or 1-d k-means edges."""
+    """Left-closed bins with codes from 0; uniform, quantile or 1-d k-means edges.
 
-    def __init__(self, columns, n_bins: int = 10, strategy: str = "quantile", encode: str = "ordinal", output: str = "replace", output_columns=None):
+    ``quantile_method`` is 'averaged_inverted_cdf' or 'linear'.  With
+    ``subsample`` edges are learnt from about so many rows, drawn by
+    ``random_state``; without it, the default, from all.
+    """
+
+    def __init__(self, columns, n_bins: int = 10, strategy: str = "quantile", encode: str = "ordinal", output: str = "replace", output_columns=None, quantile_method: str = "averaged_inverted_cdf", subsample: int | None = None, random_state: int = 0):
         super().__init__(columns, output, output_columns, "_bin")
         if strategy not in ("quantile", "uniform", "kmeans") or encode not in ("ordinal", "onehot", "onehot-dense") or n_bins < 2:
             raise DataPrepError("unknown strategy or encoding, or fewer than two bins")
-        self.n_bins, self.strategy, self.encode = n_bins, strategy, encode
+        if quantile_method not in ("averaged_inverted_cdf", "linear"):
+            raise DataPrepError(f"unknown quantile method {quantile_method}")
+        self.n_bins, self.strategy, self.encode, self.quantile_method, self.subsample, self.random_state = n_bins, strategy, encode, quantile_method, subsample, random_state
 
     def fit(self, df):
         self._check(df)
         self.state = {}
+        if self.subsample is not None and (n := df.count()) > self.subsample:
+            df = df.sample(self.subsample / n, seed=self.random_state)
         for c in self.columns:
             x = df.select(finite(F.col(c)).alias("x")).filter("x is not null")
-            if self.strategy == "quantile":
+            if self.strategy == "quantile" and self.quantile_method == "linear":
+                edges = exact_quantiles(x, "x", [i / self.n_bins for i in range(self.n_bins + 1)])
+                if edges is None:
+                    raise DataPrepError(f"{c} has no values")
+            elif self.strategy == "quantile":
                 edges = averaged_inverted_cdf(x, self.n_bins)
             else:
                 lo, hi = x.agg(F.min("x"), F.max("x")).first()
@@ -460,25 +487,24 @@ def averaged_inverted_cdf(values: DataFrame, n_bins: int) -> list[float]:
     return edges
 
 
-def _kmeans_edges(values: DataFrame, start: list[float], k: int, rounds: int = 30) -> list[float]:
-    """Lloyd's steps on a fixed-size histogram of the column."""
+def _kmeans_edges(values: DataFrame, start: list[float], k: int, rounds: int = 100) -> list[float]:
+    """Lloyd's steps on the column itself: a step is one aggregate of sums by centre."""
     lo, hi = start[0], start[-1]
     if lo == hi:
         return [lo, hi]
-    cells = 10_000
-    place = F.least(F.floor((F.col("x") - lo) / (hi - lo) * cells), F.lit(cells - 1))
-    hist = [(r["s"] / r["n"], r["n"]) for r in values.groupBy(place.alias("p")).agg(F.sum("x").alias("s"), F.count("*").alias("n")).collect()]
+    values = values.groupBy("x").count().cache()
     centers = [(a + b) / 2 for a, b in zip(start[:-1], start[1:], strict=True)]
     for _ in range(rounds):
-        sums = [[0.0, 0] for _ in range(k)]
-        for x, n in hist:
-            i = min(range(k), key=lambda i: abs(x - centers[i]))
-            sums[i][0] += x * n
-            sums[i][1] += n
-        moved = sorted(s / n if n else c for (s, n), c in zip(sums, centers, strict=True))
-        if moved == centers:
-            break
+        nearest = F.lit(k - 1)
+        for i in reversed(range(k - 1)):
+            nearest = F.when(F.col("x") <= F.lit((centers[i] + centers[i + 1]) / 2), F.lit(i)).otherwise(nearest)
+        found = {r["i"]: r["s"] / r["n"] for r in values.groupBy(nearest.alias("i")).agg(F.sum(F.col("x") * F.col("count")).alias("s"), F.sum("count").alias("n")).collect()}
+        moved = sorted(found.get(i, c) for i, c in enumerate(centers))
+        still = max(abs(a - b) for a, b in zip(moved, centers, strict=True)) <= 1e-9 * (hi - lo)
         centers = moved
+        if still:
+            break
+    values.unpersist()
     return [lo, *[(a + b) / 2 for a, b in zip(centers[:-1], centers[1:], strict=True)], hi]
 
 

@@ -244,8 +244,17 @@ class Cube:
                 warnings.warn(f"{lost} cells without a valid value", RuntimeWarning, stacklevel=2)
         return result
 
-    def explain(self, context: AnalysisContext | None = None, *, totals: bool = False) -> list[tuple[str, str, str]]:
-        """Rows of section, item and description."""
+    def explain(self, context: AnalysisContext | None = None, *, totals: bool = False, format: str = "table") -> list[tuple[str, str, str]] | str:
+        """Rows of section, item and description, or the same as lines of text."""
+        if format not in ("table", "text"):
+            raise ValueError("format is 'table' or 'text'")
+        rows = self._explained(context, totals)
+        if format == "table":
+            return rows
+        wide = [max(len(r[i]) for r in rows) for i in (0, 1)]
+        return "\n".join(f"{a:<{wide[0]}}  {b:<{wide[1]}}  {c}".rstrip() for a, b, c in rows)
+
+    def _explained(self, context: AnalysisContext | None, totals: bool) -> list[tuple[str, str, str]]:
         plan = self.plan(context, totals=totals)
         out = [("dimension", d.output_name, f"{type(d).__name__} over {', '.join(d.required_columns())}" + (f", edges for each {d.fit_by}" if d.fit_by else "")) for d in plan.dimensions]
         out += [("filter", str(i), type(f).__name__) for i, f in enumerate(self.filters)]

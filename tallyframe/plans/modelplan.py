@@ -30,6 +30,12 @@ class ModelingGoal:
     required_roles: tuple[str, ...]
     objectives: tuple[str, ...]
     optional_roles: tuple[str, ...] = ("weight", "sample_key", "time")
+    objective_roles: dict[str, tuple[str, ...]] = field(default_factory=dict)  # what an objective asks for beyond
+
+    def __post_init__(self) -> None:
+        unknown = set(self.objective_roles) - set(self.objectives)
+        if unknown:
+            raise PlanError(f"roles for unknown objectives: {sorted(unknown)}")
 
 
 def binary_classification(multitask: bool = False) -> ModelingGoal:
@@ -56,6 +62,8 @@ class ModelStrategy:
     handles_missing: bool
     handles_categorical: bool
     needs_scaling: bool
+    supports_weight: bool = True
+    data_family: str = "tabular"
 
 
 def gradient_boosting() -> ModelStrategy:
@@ -82,16 +90,29 @@ class ModelPlan:
         if self.objective is not None and self.objective not in self.objectives:
             raise CompatibilityError(f"{self.objective} is not one of {self.objectives}")
 
+        if "weight" in self.required_roles and not self.strategy.supports_weight:
+            raise CompatibilityError(f"{self.goal.kind} needs a weight, which {self.strategy.kind} doesn't take")
+
     @property
     def objectives(self) -> tuple[str, ...]:
-        return tuple(o for o in self.goal.objectives if o in self.strategy.objectives)
+        """Common objectives; one that needs a weight is left out where none is taken."""
+        weighted = {o for o, roles in self.goal.objective_roles.items() if "weight" in roles}
+        return tuple(o for o in self.goal.objectives if o in self.strategy.objectives and (self.strategy.supports_weight or o not in weighted))
+
+    @property
+    def selected(self) -> str:
+        return self.objective or self.objectives[0]
 
     @property
     def required_roles(self) -> tuple[str, ...]:
-        return self.goal.required_roles
+        return tuple(dict.fromkeys([*self.goal.required_roles, *self.goal.objective_roles.get(self.selected, ())]))
+
+    @property
+    def optional_roles(self) -> tuple[str, ...]:
+        return tuple(r for r in self.goal.optional_roles if r not in self.required_roles and (r != "weight" or self.strategy.supports_weight))
 
     def to_dict(self) -> dict[str, Any]:
-        return {"goal": self.goal.kind, "strategy": self.strategy.kind, "objective": self.objective or self.objectives[0], "roles": list(self.required_roles)}
+        return {"goal": self.goal.kind, "strategy": self.strategy.kind, "objective": self.selected, "roles": list(self.required_roles)}
 
 
 @dataclass(frozen=True)
@@ -239,12 +260,17 @@ class DataPlan:
     features: FeatureSpec
     split: SplitSpec | None = None
     metadata: dict[str, Any] = field(default_factory=dict)
+    data_family: str = "tabular"
 
     def validate_against(self, plan: ModelPlan, df: DataFrame | None = None) -> None:
         """All that is wrong, in one error."""
         errors = [f"role {r} is not bound" for r in plan.required_roles if r not in self.roles.bindings]
-        known = set(plan.required_roles) | set(plan.goal.optional_roles)
+        known = {*plan.required_roles, *plan.optional_roles}
         errors += [f"role {r} means nothing to {plan.goal.kind}" for r in self.roles.bindings if r not in known]
+        if plan.strategy.data_family != self.data_family:
+            errors.append(f"{plan.strategy.kind} reads {plan.strategy.data_family} data, not {self.data_family}")
+        if self.features.categorical and not plan.strategy.handles_categorical:
+            errors.append(f"{plan.strategy.kind} takes no categorical features")
         used = {c for cs in self.roles.bindings.values() for c in cs}
         errors += [f"{c} is both a role and a feature" for c in sorted(used & {*self.features.numeric, *self.features.categorical})]
         if df is not None:

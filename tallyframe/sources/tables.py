@@ -17,3 +17,13 @@ def read(spark: SparkSession, folder: str, name: str, columns: list[str] | None
 def write(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "error") -> None:
     out = df.write.mode(mode)
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Plain columns with a header, such as a table of importances."""
+    df.write.mode(mode).option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """With a declared schema, so no pass is spent on guessing it."""
+    return spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").schema(schema).csv(path)
