@@ -416,7 +416,7 @@ class KBins(_Fitted):
         self._check(df)
         self.state = {}
         if self.subsample is not None and (n := df.count()) > self.subsample:
-            df = df.sample(self.subsample / n, seed=self.random_state)
+            df = df.sample(fraction=self.subsample / n, seed=self.random_state)
         for c in self.columns:
             x = df.select(finite(F.col(c)).alias("x")).filter("x is not null")
             if self.strategy == "quantile" and self.quantile_method == "linear":

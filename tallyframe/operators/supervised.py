@@ -128,7 +128,7 @@ class OptBinning(_Fitted):
         out = []
         for number, (kind, key, e, o) in enumerate(every):
             woe = math.log((max(o, 0.5) / others) / (max(e, 0.5) / events)) if e + o else 0.0
-            out.append({"kind": kind, "index": number, "upper": key if not isinstance(key, tuple) else None, "values": list(key) if isinstance(key, tuple) else None, "count": e + o, "event": e, "non_event": o, "event_rate": e / (e + o) if e + o else 0.0, "woe": woe, "iv": (o / others - e / events) * woe if e + o else 0.0})
+            out.append({"kind": kind, "index": number, "upper": float(key) if kind == "bin" and not isinstance(key, tuple) else None, "values": list(key) if isinstance(key, tuple) else None, "count": e + o, "event": e, "non_event": o, "event_rate": e / (e + o) if e + o else 0.0, "woe": woe, "iv": (o / others - e / events) * woe if e + o else 0.0})
         return out
 
     def value(self, row: dict[str, Any]) -> Any:

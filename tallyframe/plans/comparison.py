@@ -92,3 +92,50 @@ def _psi(ref: DataFrame, cur: DataFrame, keys: list[str], measures: list) -> Dat
     scored = summed.join(domain, F.col("f") == F.col("df")).select(*keys, "f", F.when(ok, value).alias("v"))
     picks = [F.max(F.when(F.col("f") == i, F.col("v"))).alias(f"__m{i}") for i, _ in measures]
     return scored.groupBy(*keys).agg(*picks) if keys else scored.agg(*picks)
+
+
+def psi_against_fixed(reference: DataFrame, current: DataFrame, by: list[str], measures: list) -> DataFrame:
+    """``by``, a column for each PSI: one pooled reference against every group of ``current``, in one pass.
+
+    Each side is counted once.  Bins that a group lacks need no rows: what they
+    add follows from the reference's totals less those of the bins it has.
+    """
+    bins, sizes = {}, {}
+    for i, m in enumerate(measures):
+        bins[i] = F.col(m.field).cast("string")
+        if m.binner is not None:
+            binner = copy.deepcopy(m.binner)
+            binner.fit(reference, m.field)
+            bins[i], sizes[i] = binner.transform(F.col(m.field)).cast("string"), len(binner.domain())
+    entries = F.array(*[F.struct(F.lit(i).alias("f"), c.alias("b")) for i, c in bins.items()])
+    dropped = [i for i, m in enumerate(measures) if m.missing == "drop"]
+
+    def counted(df: DataFrame, keys: list[str]) -> DataFrame:
+        rows = df.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.f", "e.b")
+        return (rows.filter(~(F.col("f").isin(dropped) & F.col("b").isNull())) if dropped else rows).groupBy(*keys, "f", "b").agg(F.count(F.lit(1)).alias("n"))
+
+    eps = reduce(lambda a, x: a.when(F.col("f") == x[0], F.lit(x[1].epsilon)), enumerate(measures), F.when(F.lit(False), F.lit(0.0)))
+    least = reduce(lambda a, x: a.when(F.col("f") == x[0], F.lit(x[1].min_samples)), enumerate(measures), F.when(F.lit(False), F.lit(0)))
+    ref = counted(reference, []).withColumn("r_all", F.sum("n").over(Window.partitionBy("f")))
+    ref = ref.select(F.col("f").alias("rf"), F.col("b").alias("rb"), "r_all", F.greatest(F.col("n") / F.col("r_all"), eps).alias("p"))
+    cur = counted(current, by).withColumn("c_all", F.sum("n").over(Window.partitionBy(*by, "f")))
+    cur = cur.withColumn("q", F.greatest(F.col("n") / F.col("c_all"), eps)).withColumn("eps", eps)
+    met = cur.join(ref, (F.col("f") == F.col("rf")) & F.col("b").eqNullSafe(F.col("rb")), "left")
+    extra = met.filter("rf is null").groupBy("f").agg((F.count_distinct("b") + F.max(F.col("b").isNull().cast("int"))).alias("extra"))
+    fixed = reduce(lambda a, x: a.when(F.col("rf") == x[0], F.lit(x[1])), sizes.items(), F.when(F.lit(False), F.lit(0)))
+    totals = ref.groupBy("rf").agg(F.sum("p").alias("tp"), F.sum(F.ln("p")).alias("tl"), F.sum(F.col("p") * F.ln("p")).alias("tpl"), F.count(F.lit(1)).alias("tn"), F.max("r_all").alias("r_cell"), F.max(F.col("rb").isNull().cast("int")).alias("lost"))
+    # a row for each field
+    totals = totals.join(extra, F.col("rf") == F.col("f"), "left").select("rf", "tp", "tl", "tpl", "tn", "r_cell", F.coalesce(F.greatest(fixed + F.col("lost"), F.col("tn") + F.coalesce("extra", F.lit(0))), F.col("tn") + F.coalesce("extra", F.lit(0))).alias("k")).withColumnRenamed("rf", "tf")
+    known, p = F.col("rf").isNotNull(), F.coalesce("p", "eps")
+    g = F.ln("q") - F.ln(p)
+    summed = met.groupBy(*by, "f").agg(
+        F.max("c_all").alias("c_cell"), F.first("eps").alias("e0"), F.count(F.lit(1)).alias("n"), F.sum("q").alias("sq"), F.sum(F.col("q") * g).alias("a"), F.sum(p * g).alias("b0"),
+        F.count_if(known).alias("hn"), F.sum(F.when(known, F.col("p")).otherwise(0.0)).alias("hp"), F.sum(F.when(known, F.ln("p")).otherwise(0.0)).alias("hl"), F.sum(F.when(known, F.col("p") * F.ln("p")).otherwise(0.0)).alias("hpl"),
+    )
+    all_ = summed.join(F.broadcast(totals), F.col("f") == F.col("tf"))
+    log_e, gone = F.ln("e0"), F.col("tn") - F.col("hn")
+    a = F.col("a") + F.col("e0") * (gone * log_e - (F.col("tl") - F.col("hl")))
+    b = F.col("b0") + log_e * (F.col("tp") - F.col("hp")) - (F.col("tpl") - F.col("hpl"))
+    value = a / (F.col("sq") + (F.col("k") - F.col("n")) * F.col("e0")) - b / (F.col("tp") + (F.col("k") - F.col("tn")) * F.col("e0"))
+    scored = all_.select(*by, "f", F.when((F.col("r_cell") >= least) & (F.col("c_cell") >= least), value).alias("v"))
+    return scored.groupBy(*by).agg(*[F.max(F.when(F.col("f") == i, F.col("v"))).alias(m.name) for i, m in enumerate(measures)])

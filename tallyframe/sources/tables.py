@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,16 @@ def write(df: DataFrame, path: str, partition_by: list[str] | None = None, mode:
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that all executors reach: under ``spark.checkpoint.dir``, or local on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return f"{named.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
+    return Path(tempfile.mkdtemp(prefix="tallyframe-")).as_uri()
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """Plain columns with a header, such as a table of importances."""
     df.write.mode(mode).option("header", True).csv(path)
