@@ -8,9 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expr import finite
+from .expr import finite, score_slice
 
-DIRECT_ROWS = 20_000_000
+DIRECT_ROWS = 2_000_000
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float], direct_rows: int = DIRECT_ROWS) -> list[float] | None:
@@ -52,3 +52,39 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
         lo, hi = at[math.floor(place)], at[math.ceil(place)]
         out.append(lo + (hi - lo) * (place - math.floor(place)))
     return out
+
+
+def grouped_quantiles(df: DataFrame, column: str, by: Sequence[str], probabilities: Sequence[float], direct_rows: int = DIRECT_ROWS) -> dict[tuple, list[float] | None]:
+    """``exact_quantiles`` of every group; a group without finite values has None.
+
+    Beyond ``direct_rows`` rows values are counted, and only running counts are
+    ordered, over monotone slices of each group's range; what reaches the driver
+    is two values a group and probability.
+    """
+    if df.count() <= direct_rows:
+        made = F.percentile(finite(F.col(column)), F.array(*[F.lit(float(p)) for p in probabilities]))
+        return {tuple(r)[:-1]: r[-1] for r in df.groupBy(*by).agg(made).collect()}
+    keys = [f"__k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], finite(F.col(column)).alias("x"))
+    counted = rows.groupBy(*keys, "x").count().withColumn("b", score_slice(F.col("x")))
+    known = counted.filter("x is not null")
+    whole = Window.partitionBy(*keys)
+    per = known.groupBy(*keys, "b").agg(F.sum("count").alias("n"))
+    offsets = per.select(*[F.col(k).alias(f"{k}o") for k in keys], F.col("b").alias("ob"), (F.sum("n").over(whole.orderBy("b")) - F.col("n")).alias("o"), F.sum("n").over(whole).alias("all"))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}o")) for k in keys] + [F.col("b") == F.col("ob")]
+    up_to = F.sum("count").over(Window.partitionBy(*keys, "b").orderBy("x"))
+    ranked = known.join(offsets, same).withColumn("hi", up_to + F.col("o")).withColumn("lo", F.col("hi") - F.col("count"))
+    wanted = F.array_distinct(F.array(*[f(F.lit(float(p)) * (F.col("all") - 1)).cast("long") for p in probabilities for f in (F.floor, F.ceil)]))
+    hits = ranked.withColumn("r", F.explode(F.filter(wanted, lambda r: (r >= F.col("lo")) & (r < F.col("hi"))))).select(*keys, "r", "x", "all").collect()
+    groups: dict[tuple, list[float] | None] = {tuple(r): None for r in counted.select(*keys).distinct().collect()}
+    at: dict[tuple, tuple[int, dict[int, float]]] = {}
+    for h in hits:
+        at.setdefault(tuple(h)[: len(keys)], (h["all"], {}))[1][h["r"]] = h["x"]
+    for group, (n, x) in at.items():
+        out = []
+        for p in probabilities:
+            place = float(p) * (n - 1)
+            lo, hi = x[math.floor(place)], x[math.ceil(place)]
+            out.append(lo + (hi - lo) * (place - math.floor(place)))
+        groups[group] = out
+    return groups

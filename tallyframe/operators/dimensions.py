@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DimensionError, NotFittedError
-from .binning import BaseTransformer, EdgeBinner, FixedBinner
+from ..functions.quantiles import grouped_quantiles
+from .binning import BaseTransformer, EdgeBinner, FixedBinner, QuantileBinner
 
 RESERVED = ("metric", "value")
 BROADCAST_STRATA = 10_000
@@ -91,6 +92,12 @@ class BinDimension(BaseDimension):
         if not self.fit_by:
             self.transformer.fit(df, self.fit_field)
             return self
+        if isinstance(self.transformer, QuantileBinner):
+            self.strata_ = {}
+            for stratum, points in grouped_quantiles(df, self.fit_field, self.fit_by, self.transformer.probabilities()).items():
+                self.strata_[stratum] = copy.deepcopy(self.transformer)
+                self.strata_[stratum].finish(points)
+            return self
         aggs = self.transformer.fit_columns()  # type: ignore[attr-defined]
         rows = df.groupBy(*self.fit_by).agg(*[make(F.col(self.fit_field)).alias("__points") for make in aggs]).collect() if aggs else df.select(*self.fit_by).distinct().collect()
         strata = {}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ArtifactError, DataPrepError, NotFittedError
-from ..functions.expr import finite, nan_to_null
+from ..functions.expr import finite, nan_to_null, score_slice
 from ..functions.quantiles import exact_quantiles
 from .quality import missing, to_double
 
@@ -363,9 +363,20 @@ class MinMaxScaler(StandardScaler):
         return {f"{c}|{n}": v for c in self.columns for n, v in (("center", got[f"{c}|lo"] or 0.0), ("scale", (got[f"{c}|hi"] or 0.0) - (got[f"{c}|lo"] or 0.0)))}
 
 
+MAX_CATEGORIES = 100_000
+
+
 class _Categories(_Fitted):
+    """Distinct values, ``MAX_CATEGORIES`` at most: each becomes a column or a code in the plan."""
+
     def learn(self, df, got):
-        return {c: sorted((r[0] for r in df.filter(F.col(c).isNotNull()).select(c).distinct().collect()), key=lambda v: (isinstance(v, str), v)) for c in self.columns}
+        out = {}
+        for c in self.columns:
+            found = df.filter(F.col(c).isNotNull()).select(c).distinct().limit(MAX_CATEGORIES + 1).collect()
+            if len(found) > MAX_CATEGORIES:
+                raise DataPrepError(f"{c} has more than {MAX_CATEGORIES} categories")
+            out[c] = sorted((r[0] for r in found), key=lambda v: (isinstance(v, str), v))
+        return out
 
 
 class OneHotEncoder(_Categories):
@@ -462,8 +473,6 @@ def averaged_inverted_cdf(values: DataFrame, n_bins: int) -> list[float]:
     """
     from pyspark.sql import Window
 
-    from .rank import score_slice
-
     counted = values.groupBy("x").count().withColumn("b", score_slice(F.col("x")))
     per = counted.groupBy("b").agg(F.sum("count").alias("n"))
     offsets = per.select(F.col("b").alias("ob"), (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("o"), F.sum("n").over(Window.partitionBy()).alias("all"))
@@ -587,24 +596,51 @@ def merge_bins(bins: list[list], min_share: float, monotonic: bool) -> list[list
 
 
 class VocabularyEncoder(_Fitted):
-    """Sorted distinct values to 1..n; missing and unseen are 0.  Large ones join, not map."""
+    """Sorted distinct values to 1..n; missing and unseen are 0.
+
+    Up to ``BROADCAST`` values are part of the step's state.  More need ``table``,
+    a folder where the vocabulary is written as Parquet, numbered by partition
+    and joined from there, so it never passes the driver.
+    """
 
     BROADCAST = 100_000
 
-    def __init__(self, column: str, output_column: str | None = None):
+    def __init__(self, column: str, output_column: str | None = None, table: str | None = None):
         super().__init__(column, "append" if output_column else "replace", [output_column] if output_column else None)
-        self.column = column
+        self.column, self.table = column, table
 
     def fit(self, df):
-        self.state = {"values": [r[0] for r in df.filter(F.col(self.column).isNotNull()).select(F.col(self.column).cast("string")).distinct().orderBy(self.column).collect()]}
+        self._check(df)
+        values = df.select(F.col(self.column).cast("string").alias("__v")).filter("__v is not null").distinct()
+        if self.table is not None:
+            self.state = {"table": self.table, "size": self._write(values)}
+            return self
+        found = values.limit(self.BROADCAST + 1).collect()
+        if len(found) > self.BROADCAST:
+            raise DataPrepError(f"{self.column} has more than {self.BROADCAST} values: name a table for the vocabulary")
+        self.state = {"values": sorted((r[0] for r in found), key=lambda v: v.encode())}
         return self
 
+    def _write(self, values: DataFrame) -> int:
+        from pyspark.sql import Window
+
+        spark, part = values.sparkSession, f"{self.table}-parts"
+        placed = values.repartitionByRange("__v").sortWithinPartitions("__v").withColumn("__m", F.monotonically_increasing_id())
+        placed.write.mode("overwrite").parquet(part)
+        stored = spark.read.schema("__v string, __m long").parquet(part).withColumn("__p", F.shiftright("__m", 33))
+        totals = stored.groupBy("__p").agg(F.count("*").alias("n"))  # a row for each partition
+        offsets = totals.select(F.col("__p").alias("__q"), (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__o"))
+        index = F.col("__o") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+        stored.join(F.broadcast(offsets), F.col("__p") == F.col("__q")).select("__v", index.cast("int").alias("__i")).write.mode("overwrite").parquet(self.table)
+        return spark.read.parquet(self.table).count()
+
     def transform(self, df):
         if self.state is None:
             raise NotFittedError("VocabularyEncoder is not fitted")
-        codes = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(self.state["values"], 1)] or [("", 0)], "__v string, __i int")
-        if len(self.state["values"]) <= self.BROADCAST:
-            codes = F.broadcast(codes)
+        if "table" in self.state:
+            codes = df.sparkSession.read.schema("__v string, __i int").parquet(self.state["table"])
+        else:
+            codes = F.broadcast(df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(self.state["values"], 1)] or [("", 0)], "__v string, __i int"))
         return df.join(codes, F.col(self.column).cast("string") == F.col("__v"), "left").withColumn(self.target(self.column), F.coalesce("__i", F.lit(0))).drop("__v", "__i")
 
 

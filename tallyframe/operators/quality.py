@@ -295,6 +295,9 @@ class UniqueCheck(BaseQualityCheck):
         return self.result(df, got, [CheckStatus.FAIL if got["rows"] else CheckStatus.PASS])
 
 
+MAX_CATEGORIES = 1_000_000
+
+
 class CategorySetCheck(BaseQualityCheck):
     def __init__(self, column: str, values: Sequence[Any] | None = None, check_new: bool = True, check_missing: bool = True):
         super().__init__(column)
@@ -302,7 +305,10 @@ class CategorySetCheck(BaseQualityCheck):
 
     def query(self, df):
         c = self.of(df)[0]
-        return {"values": {r[0] for r in df.filter(~missing(df, c)).select(c).distinct().collect()}}
+        found = df.filter(~missing(df, c)).select(c).distinct().limit(MAX_CATEGORIES + 1).collect()
+        if len(found) > MAX_CATEGORIES:
+            raise DataQualityError(f"{c} has more than {MAX_CATEGORIES} values: not a set of categories")
+        return {"values": {r[0] for r in found}}
 
     def learn(self, df, got):
         self.values_ = set(self.values) if self.values is not None else got["values"]

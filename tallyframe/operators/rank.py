@@ -11,19 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import divide, finite
+from ..functions.expr import divide, finite, score_slice
 from .measures import valid_weight
 
 
-def score_slice(score: Column) -> Column:
-    """A non-decreasing function of the score with some hundred values."""
-    size = F.floor((F.log2(F.greatest(F.abs(score), F.lit(1e-300))) + 1100) * 32)
-    return F.when(score == 0, F.lit(0)).when(score > 0, size).otherwise(-size).cast("long")
-
-
 def histogram(df: DataFrame, keys: Sequence[str], score: str, target: str, weight: str | None) -> DataFrame:
     """``keys, s, pos, neg, odd``: weight by class at each distinct score."""
     w = valid_weight(weight) if weight else F.lit(1.0)

@@ -354,12 +354,14 @@ class CubeResult:
             raise CubeError("that total was not computed; use totals=True, and keep fit_by fields of bins")
         return CubeResult(self.plan, self.wide, self.spark, self.policy, self.names, _gid(keep, len(self.dims)))
 
-    def axes(self) -> dict[str, list[Any]]:
+    def axes(self, most: int = MAX_CELLS) -> dict[str, list[Any]]:
         """Ordered domains: declared or fitted labels, else values in natural order."""
         out: dict[str, list[Any]] = {}
         cells = self.wide.filter(F.col("__gid") == self.gid)
         for i in self._grain():
-            seen = [r[0] for r in cells.select(f"__d{i}").distinct().collect()]
+            seen = [r[0] for r in cells.select(f"__d{i}").distinct().limit(most + 1).collect()]
+            if len(seen) > most:
+                raise LayoutError(f"{self.dims[i]} has more than {most} values")
             known = self.plan.dimensions[i].domain()
             domain = list(known) if known is not None else []
             domain += sorted((v for v in seen if v is not None and v not in domain), key=natural_key)
@@ -400,7 +402,7 @@ class CubeResult:
         ``bin_labels='interval'`` bins show as intervals; stratified ones differ
         by stratum, so their intervals are united and only valid cells filled.
         """
-        axes = self.axes()
+        axes = self.axes(max_cells)
         names = [self.dims[i] for i in self._grain()]
         if rows is None and columns is None:
             rows, columns = names, ["metric"]

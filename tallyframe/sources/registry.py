@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ExperimentError, RunError
-from ..operators.rank import score_slice
+from ..functions.expr import score_slice
 
 STATUSES = ("running", "completed", "failed")
 RECORD = "run_id string, name string, label string, status string, started_at string, ended_at string, config map<string,string>, metrics map<string,map<string,double>>, result map<string,string>, error string"

@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe import PSI, Col, Count, Cube, Funnel, QuantileBinner, Stage
-from tallyframe.errors import DataPrepError, ExperimentError
-from tallyframe.operators import prep, supervised
+from tallyframe.errors import DataPrepError, DataQualityError, ExperimentError, LayoutError
+from tallyframe.functions.quantiles import grouped_quantiles
+from tallyframe.operators import prep, quality, supervised
 from tallyframe.operators.rank import psi_from_proportions
 from tallyframe.plans.comparison import psi_against_fixed
+from tallyframe.plans.modelplan import PartitionSpec, RandomSplitter, SplitSpec
 from tallyframe.sources import methods
 from tallyframe.sources.tables import read_csv, write_csv
 
@@ -132,3 +134,45 @@ def test_callable_identity_follows_the_source():
 
     assert methods.callable_identity(one)["sha256"] != methods.callable_identity(two)["sha256"]
     assert QuantileBinner(2).probabilities() == [0.0, 0.5, 1.0]
+
+
+def test_grouped_quantiles_by_slices_equal_direct_ones(spark):
+    rows = [(g, None if i % 17 == 0 else float((i * 37) % 101) - 50) for g in ("a", "b", None) for i in range(200)] + [("void", None), ("one", 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    p = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    direct, sliced = grouped_quantiles(df, "x", ["g"], p), grouped_quantiles(df, "x", ["g"], p, direct_rows=0)
+    assert direct.keys() == sliced.keys() and sliced[("void",)] is None
+    for key, points in direct.items():
+        assert points is None or sliced[key] == pytest.approx(list(points))
+
+
+def test_vocabulary_as_a_table(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(v,) for v in ["b", "a", "c", "a", None, "B", "z"]], "w string").repartition(3)
+    small = prep.VocabularyEncoder("w", "code").fit(df)
+    monkeypatch.setattr(prep.VocabularyEncoder, "BROADCAST", 2)
+    with pytest.raises(DataPrepError):
+        prep.VocabularyEncoder("w", "code").fit(df)
+    large = prep.VocabularyEncoder("w", "code", table=str(tmp_path / "v")).fit(df)
+    assert large.state["size"] == 5
+    assert sorted(map(tuple, large.transform(df).collect()), key=str) == sorted(map(tuple, small.transform(df).collect()), key=str)
+
+
+def test_categories_are_bounded(spark, monkeypatch):
+    df = spark.range(20).withColumn("k", F.col("id").cast("string"))
+    monkeypatch.setattr(prep, "MAX_CATEGORIES", 10)
+    monkeypatch.setattr(quality, "MAX_CATEGORIES", 10)
+    with pytest.raises(DataPrepError):
+        prep.OneHotEncoder("k").fit(df)
+    with pytest.raises(DataQualityError):
+        quality.DataQuality([quality.CategorySetCheck("k")]).fit(df)
+    with pytest.raises(LayoutError):
+        Cube(["k"], [Count()]).compute(df).layout(["k"], ["metric"], max_cells=5)
+
+
+def test_stratified_split_orders_no_stratum_in_one_task(spark):
+    df = spark.range(1000).withColumn("s", F.when(F.col("id") < 900, F.lit("big")).when(F.col("id") < 990, F.lit("small")))
+    spec = SplitSpec(RandomSplitter(stratify="s"), {"train": PartitionSpec(0.7), "test": PartitionSpec(0.3)})
+    out = spec.assign(df)
+    assert out.columns == ["id", "s", "partition"]
+    assert {(r.s, r.partition): r["count"] for r in out.groupBy("s", "partition").count().collect()} == {("big", "train"): 630, ("big", "test"): 270, ("small", "train"): 63, ("small", "test"): 27, (None, "train"): 7, (None, "test"): 3}
+    assert "windowspecdefinition(s" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -254,7 +254,7 @@ def test_importance_ranks_cover_every_part(spark):
     folder = "/root/testdata/sf0.01"
     if not Path(folder).exists():
         pytest.skip("needs the sample tables")
-    got = entry.queries()["importance_ranks_whole"](spark, folder)
+    got = entry.queries()["importance_ranks"](spark, folder)
     assert got.count() == read(spark, folder, "part").count() > 199
 
 
