@@ -9,15 +9,21 @@ they add nothing to the sum, and to the renormalisation just epsilon each.
 from __future__ import annotations
 
 import copy
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import MeasureError, TransformError
 from ..functions.expr import divide
+from ..functions.quantiles import quantiles_of_columns
+from ..operators.binning import QuantileBinner
 from ..operators.measures import PSI, ComparativeCalculation
 
+FITS_AT_ONCE, FIELDS_AT_ONCE = 8, 16
+
 
 def compare(cube, plan, reference: DataFrame, current: DataFrame) -> DataFrame:
     """Wide result ``__d*, __m*, __gid, __a0`` keyed by the union of both sides' keys."""
@@ -50,21 +56,52 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return joined.drop(*[f"{k}x" for k in keys])
 
 
+def _fitted(ref: DataFrame, measures: list) -> dict[int, Any]:
+    """Each measure's binner fitted on the reference, None where it has no values.
+
+    Quantile binners of fields without a fit of their own are fitted together;
+    other fits are jobs of their own and run side by side.
+    """
+    binners = {i: copy.deepcopy(m.binner) for i, m in measures}
+    together = {i: m for i, m in measures if type(binners[i]) is QuantileBinner}
+    points: dict[tuple[int, str], Any] = {}
+    for n in {binners[i].n_bins for i in together}:
+        fields = {m.field: binners[i].probabilities() for i, m in together.items() if binners[i].n_bins == n}
+        points |= {(n, field): found for field, found in quantiles_of_columns(ref, fields).items()}
+
+    def fit(entry):
+        i, m = entry
+        try:
+            if i in together:
+                binners[i].finish(points[binners[i].n_bins, m.field])
+            else:
+                binners[i].fit(ref, m.field)
+        except TransformError:
+            return i, None
+        return i, binners[i]
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return dict(pool.map(fit, measures))
+
+
 def _psi(ref: DataFrame, cur: DataFrame, keys: list[str], measures: list) -> DataFrame:
     bins, sizes, usable = {}, {}, {}
+    fitted = _fitted(ref, [(i, m) for i, m in measures if m.binner is not None])
     for i, m in measures:
         if m.binner is None:
             bins[i] = F.col(m.field).cast("string")
-            continue
-        binner = copy.deepcopy(m.binner)
-        try:
-            binner.fit(ref, m.field)
-            bins[i], sizes[i], usable[i] = binner.transform(F.col(m.field)).cast("string"), len(binner.domain()), True
-        except TransformError:  # nothing in the reference to learn from
+        elif fitted[i] is None:  # nothing in the reference to learn from
             bins[i], sizes[i], usable[i] = F.lit(None).cast("string"), 0, False
-    both = ref.select(*keys, F.lit(0).alias("__side"), *[c.alias(f"__b{i}") for i, c in bins.items()]).unionByName(cur.select(*keys, F.lit(1).alias("__side"), *[c.alias(f"__b{i}") for i, c in bins.items()]))
-    entries = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"__b{i}").alias("b")) for i, _ in measures])
-    rows = both.select(*keys, "__side", F.explode(entries).alias("e")).select(*keys, "__side", "e.f", "e.b")
+        else:
+            bins[i], sizes[i], usable[i] = fitted[i].transform(F.col(m.field)).cast("string"), len(fitted[i].domain()), True
+    parts = []
+    for lo in range(0, len(measures), FIELDS_AT_ONCE):  # each reads its own columns; more expressions than that don't compile
+        own = [i for i, _ in measures[lo : lo + FIELDS_AT_ONCE]]
+        made = [bins[i].alias(f"__b{i}") for i in own]
+        both = ref.select(*keys, F.lit(0).alias("__side"), *made).unionByName(cur.select(*keys, F.lit(1).alias("__side"), *made))
+        entries = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"__b{i}").alias("b")) for i in own])
+        parts.append(both.select(*keys, "__side", F.explode(entries).alias("e")).select(*keys, "__side", "e.f", "e.b"))
+    rows = reduce(DataFrame.unionAll, parts)
     dropped = [i for i, m in measures if m.missing == "drop"]
     if dropped:
         rows = rows.filter(~(F.col("f").isin(dropped) & F.col("b").isNull()))
