@@ -18,7 +18,7 @@ import regex
 #: Fixed value: the byte-level pre-token pattern of the 50k vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_ONLY = re.compile("[^\x00-\x1b\x20-\x84\x86-\u058e]")
-TABLE_LIMIT = 300_000
+TABLE_LIMIT = 800_000
 
 
 def byte_alphabet() -> dict[int, str]:
