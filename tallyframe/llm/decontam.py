@@ -42,7 +42,7 @@ def words(text: Column) -> Column:
 
 
 def _least(hashes: Column) -> Column:
-    return F.array_distinct(F.transform(hashes, lambda g, i: F.least(g, *[F.get(hashes, i + j) for j in range(1, SPAN)])))
+    return F.transform(hashes, lambda g, i: F.least(g, *[F.get(hashes, i + j) for j in range(1, SPAN)]))
 
 
 def with_fingerprints(df: DataFrame, text: str) -> DataFrame:
@@ -68,41 +68,78 @@ def _few(df: DataFrame) -> tuple[DataFrame, int]:
     return (F.broadcast(df) if n <= BROADCAST_ROWS else df), n
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, store: Scratch, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``__id, __hash, n_hit, items`` of documents that hold a benchmark window.
+def spans_in_place(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Runs of words that start where a sought key says they do, cut from the text in the pass that hashes it.
+
+    ``keys`` is broadcast and holds ``__key``, the run's ``__length`` and ``__shift``,
+    how far before the key it starts.  Every row also gives one run of length 0,
+    at the place behind all its hashes.
+    """
+    count, place = F.col("n_words"), F.col("__pos")
+    hashed = with_fingerprints(rows, "__text").withColumn("n_words", F.size("__words"))
+    unfolded = hashed.select("__id", "__hash", "n_words", "__words", F.posexplode(F.concat(*columns, F.array(F.lit(0).cast("long")))).alias("__pos", "__key"))
+    marks = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("__key"), F.lit(0).alias("__length"), F.lit(0).alias("__shift"))
+    last = place == count * len(columns)
+    start = F.when(place >= count, place - count).otherwise(place) - F.col("__shift")
+    met = unfolded.join(F.broadcast(keys.unionByName(marks)), "__key").filter(last == (F.col("__length") == 0))
+    met = met.withColumn("__at", F.when(last, F.lit(0)).otherwise(start)).filter((F.col("__at") >= 0) & (F.col("__at") + F.col("__length") <= count))
+    return met.select("__id", "__hash", "n_words", "__at", "__length", F.when(~last, F.concat_ws(" ", F.slice("__words", F.col("__at") + 1, F.col("__length")))).alias("__window"))
+
+
+def spans_of_candidates(rows: DataFrame, keys: DataFrame, columns: list[str], lengths: list[int], store: Scratch) -> DataFrame:
+    """The same for more keys than can be broadcast: all runs of the rows that hold a key, found by a shuffle."""
+    hashed = with_fingerprints(rows, "__text").select("__id", "__hash", F.explode_outer(F.array_distinct(F.concat(*columns))).alias("__key"))
+    holders = hashed.join(keys.select("__key").distinct(), "__key", "left_semi").select(F.col("__id").alias("__cid"), F.col("__hash").alias("__chash"))
+    candidates, _ = _few(store.keep(holders.distinct(), "candidates"))
+    same = F.col("__id").eqNullSafe(F.col("__cid")) & (F.col("__hash") == F.col("__chash"))
+    worded = rows.join(candidates, same, "left_semi").withColumn("__words", words(F.col("__text")))
+    spans = counted(rows)
+    for n in lengths:
+        runs = worded.select("__id", "__hash", F.size("__words").alias("n_words"), F.posexplode(windows(F.col("__words"), n)).alias("__at", "__window"))
+        spans = spans.unionByName(runs.withColumn("__length", F.lit(n)))
+    return spans
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """The run of length 0 of every row."""
+    n_words = F.coalesce(F.regexp_count(F.col("__text"), F.lit(WORD)), F.lit(0))
+    return rows.select("__id", "__hash", n_words.alias("n_words"), F.lit(0).alias("__at"), F.lit(0).alias("__length"), F.lit(None).cast("string").alias("__window"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, store: Scratch, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``__id, __hash, n_words`` of every row, and ``__id, __hash, n_hit, items`` of those that hold a benchmark window.
 
     ``__hash`` tells apart rows that share an id but not a text.
     """
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("__text"))
-    items = store.keep(with_fingerprints(items, "__text").filter(F.size("__words") > 0).withColumn("__length", F.least(F.size("__words"), F.lit(WINDOW))).drop("__text", "__codes", "__grams"), "items")
-    wanted = store.keep(items.select("item", "__length", F.explode_outer(windows(F.col("__words"), F.col("__length"))).alias("__window")).filter(F.col("__window").isNotNull()).distinct(), "windows")
+    items = with_fingerprints(items, "__text").filter(F.size("__words") > 0).withColumn("__length", F.least(F.size("__words"), F.lit(WINDOW)))
+    items = store.keep(items.drop("__text", "__codes", "__grams"), "items")
+    wanted = store.keep(items.select("item", "__length", F.explode(windows(F.col("__words"), F.col("__length"))).alias("__window")).distinct(), "windows")
     lengths = sorted(r[0] for r in wanted.select("__length").distinct().collect())  # at most ten values
     rows = docs.select(F.col(key).alias("__id"), F.xxhash64(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
 
-    found = None
+    sought = {}
     if WINDOW in lengths:
-        prints, _ = _few(store.keep(items.filter(F.col("__length") == WINDOW).select(F.explode_outer("__prints").alias("__print")).distinct(), "prints"))
-        found = with_fingerprints(rows, "__text").select("__id", "__hash", F.explode_outer("__prints").alias("__print")).join(prints, "__print", "left_semi").select("__id", "__hash")
+        full = F.explode(F.slice("__prints", F.lit(1), F.size("__words") - WINDOW + 1)).alias("__key")
+        sought["__prints"] = items.filter(F.col("__length") == WINDOW).select(full, "__length", F.lit(0).alias("__shift"))
     if any(n < WINDOW for n in lengths):
-        anchor = F.element_at(F.array_sort(F.transform("__words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-        anchors, _ = _few(store.keep(items.filter(F.col("__length") < WINDOW).select(anchor.alias("__anchor")).distinct(), "anchors"))
-        short = rows.withColumn("__words", words(F.col("__text"))).select("__id", "__hash", F.explode_outer(F.array_distinct("__words")).alias("__anchor")).join(anchors, "__anchor", "left_semi").select("__id", "__hash")
-        found = short if found is None else found.unionByName(short)
-    if found is None:
-        found = rows.select("__id", "__hash").limit(0)
-    candidates, _ = _few(store.keep(found.distinct().select(F.col("__id").alias("__cid"), F.col("__hash").alias("__chash")), "candidates"))
-
-    same = F.col("__id").eqNullSafe(F.col("__cid")) & (F.col("__hash") == F.col("__chash"))
-    worded = rows.join(candidates, same, "left_semi").withColumn("__words", words(F.col("__text"))).select("__id", "__hash", "__words")
+        longest = F.element_at(F.array_sort(F.transform("__words", lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), 1)
+        sought["__codes"] = items.filter(F.col("__length") < WINDOW).select(longest.alias("__a"), "__length").select(F.xxhash64("__a.w").alias("__key"), "__length", F.col("__a.i").alias("__shift"))
+    spans = counted(rows)
+    if sought:
+        keys = None
+        for part in sought.values():
+            keys = part if keys is None else keys.unionByName(part)
+        keys = store.keep(keys.distinct(), "keys")
+        if keys.count() <= BROADCAST_ROWS:
+            spans = spans_in_place(rows, keys, list(sought))
+        else:
+            spans = spans_of_candidates(rows, keys, list(sought), lengths, store)
+    spans = store.keep(spans, "spans")
     texts, _ = _few(store.keep(wanted.select("__window").distinct().withColumn("__wid", F.xxhash64("__window")), "texts"))
-    spans = None
-    for n in lengths:
-        of_length = worded.select("__id", "__hash", F.posexplode_outer(windows(F.col("__words"), n)).alias("__at", "__window")).withColumn("__end", F.col("__at") + n)
-        spans = of_length if spans is None else spans.unionByName(of_length)
-    if spans is None:
-        return rows.limit(0).select("__id", "__hash", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    ends = F.col("__at") + F.col("__length")
     # a repeated row hits where its twin does
-    matched = store.keep(spans.join(texts, "__window").select("__id", "__hash", "__at", "__end", "__wid"), "matched")
+    matched = store.keep(spans.filter("__length > 0").join(texts, "__window").select("__id", "__hash", "__at", ends.alias("__end"), "__wid"), "matched")
 
     def cover(acc: Column, span: Column) -> Column:
         fresh = F.greatest(F.lit(0), span["__end"] - F.greatest(span["__at"], acc["end"]))
@@ -113,14 +150,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, store: Scratch, text: str = "tex
     owners = wanted.select(F.xxhash64("__window").alias("__wid"), "item").distinct()
     listed = matched.select("__id", "__hash", "__wid").distinct().join(owners, "__wid").groupBy("__id", "__hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
     listed = listed.select(F.col("__id").alias("__lid"), F.col("__hash").alias("__lhash"), "items")
-    return store.keep(covered.join(listed, F.col("__id").eqNullSafe(F.col("__lid")) & (F.col("__hash") == F.col("__lhash")), "left").select("__id", "__hash", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "hits")
+    found = covered.join(listed, F.col("__id").eqNullSafe(F.col("__lid")) & (F.col("__hash") == F.col("__lhash")), "left")
+    found = store.keep(found.select("__id", "__hash", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")), "hits")
+    return spans.filter("__length = 0").select("__id", "__hash", "n_words"), found
 
 
 def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document: words, words hit, items found, verdict."""
     store = Scratch(docs.sparkSession, "decontam")
-    found, _ = _few(hits(docs, benchmark, store, text, key, item, item_text))
-    rows = docs.select(F.col(key).alias(key), F.xxhash64(F.col(text)).alias("__dhash"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows, found = hits(docs, benchmark, store, text, key, item, item_text)
+    rows = rows.select(F.col("__id").alias(key), F.col("__hash").alias("__dhash"), F.col("n_words").cast("long").alias("n_words"))
+    found, _ = _few(found)
     joined = rows.join(found, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__dhash") == F.col("__hash")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -131,5 +171,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     """``docs`` without the rows that hold a benchmark window."""
     store = Scratch(docs.sparkSession, "decontam")
     own, hashed = unused(docs.columns, "__id", "__hash")
-    found, _ = _few(hits(docs, benchmark, store, text, key).select(F.col("__id").alias(own), F.col("__hash").alias(hashed)))
+    found, _ = _few(hits(docs, benchmark, store, text, key)[1].select(F.col("__id").alias(own), F.col("__hash").alias(hashed)))
     return docs.join(found, F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text)) == F.col(hashed)), "left_anti")
