@@ -3,17 +3,18 @@
 Words of both sides are hashed in runs of ``GRAM``; every ``SPAN`` consecutive
 hashes contribute their minimum.  A shared run of ``GRAM + SPAN - 1`` = 10
 words holds a full span on both sides, so it always shares a fingerprint.
-Documents with a benchmark fingerprint are candidates; for them alone hits are
-extended, by comparing their windows of whole words with the benchmark's.
+Hits are extended on whole words: where a document's span has a benchmark
+fingerprint, the window that starts there is cut from the text, in the pass that
+hashed it, and compared with the benchmark's windows.
 
 Items of fewer words than a window are one window as they stand.  Winnowing
-can't promise such short runs, so their candidates are documents holding the
-item's longest word.
+can't promise such short runs, so theirs start from the item's longest word: each
+place that holds it gives the run that would be the item.
 
-Only built-in expressions run.  Arrays are unfolded by the outer forms and
-nulls left to the joins: for the plain forms the optimiser repeats the whole
-array expression in a filter below.  What is broadcast is counted first; beyond
-``BROADCAST_ROWS`` the same joins shuffle.
+Only built-in expressions run, and every text is read and split once.  That pass
+broadcasts the sought hashes, which are counted first; beyond ``BROADCAST_ROWS``
+documents with one are found by a shuffle, and all their windows are compared.
+Smaller tables are broadcast below a counted number of rows and of bytes.
 
 Null and wordless texts have no words and no hits, and wordless items no
 windows; a null item id makes hits but is not listed.  Repeated rows of
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, lower_ascii, unused
 
 WINDOW, GRAM, SPAN = 10, 5, 6
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Fixed value: everything that is not part of a word.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same, from the other side and before lower-casing, to count words without making them.
@@ -63,9 +64,11 @@ def windows(word: Column, length: Column | int) -> Column:
     return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(word, i, length)))
 
 
-def _few(df: DataFrame) -> tuple[DataFrame, int]:
-    n = df.count()
-    return (F.broadcast(df) if n <= BROADCAST_ROWS else df), n
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if its rows and their bytes, both counted, are few."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n_rows, n_bytes = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES else df
 
 
 def spans_in_place(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
@@ -90,7 +93,7 @@ def spans_of_candidates(rows: DataFrame, keys: DataFrame, columns: list[str], le
     """The same for more keys than can be broadcast: all runs of the rows that hold a key, found by a shuffle."""
     hashed = with_fingerprints(rows, "__text").select("__id", "__hash", F.explode_outer(F.array_distinct(F.concat(*columns))).alias("__key"))
     holders = hashed.join(keys.select("__key").distinct(), "__key", "left_semi").select(F.col("__id").alias("__cid"), F.col("__hash").alias("__chash"))
-    candidates, _ = _few(store.keep(holders.distinct(), "candidates"))
+    candidates = _few(store.keep(holders.distinct(), "candidates"))
     same = F.col("__id").eqNullSafe(F.col("__cid")) & (F.col("__hash") == F.col("__chash"))
     worded = rows.join(candidates, same, "left_semi").withColumn("__words", words(F.col("__text")))
     spans = counted(rows)
@@ -136,7 +139,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, store: Scratch, text: str = "tex
         else:
             spans = spans_of_candidates(rows, keys, list(sought), lengths, store)
     spans = store.keep(spans, "spans")
-    texts, _ = _few(store.keep(wanted.select("__window").distinct().withColumn("__wid", F.xxhash64("__window")), "texts"))
+    texts = _few(store.keep(wanted.select("__window").distinct().withColumn("__wid", F.xxhash64("__window")), "texts"))
     ends = F.col("__at") + F.col("__length")
     # a repeated row hits where its twin does
     matched = store.keep(spans.filter("__length > 0").join(texts, "__window").select("__id", "__hash", "__at", ends.alias("__end"), "__wid"), "matched")
@@ -160,7 +163,7 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     store = Scratch(docs.sparkSession, "decontam")
     rows, found = hits(docs, benchmark, store, text, key, item, item_text)
     rows = rows.select(F.col("__id").alias(key), F.col("__hash").alias("__dhash"), F.col("n_words").cast("long").alias("n_words"))
-    found, _ = _few(found)
+    found = _few(found)
     joined = rows.join(found, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__dhash") == F.col("__hash")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -171,5 +174,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     """``docs`` without the rows that hold a benchmark window."""
     store = Scratch(docs.sparkSession, "decontam")
     own, hashed = unused(docs.columns, "__id", "__hash")
-    found, _ = _few(hits(docs, benchmark, store, text, key)[1].select(F.col("__id").alias(own), F.col("__hash").alias(hashed)))
+    found = _few(hits(docs, benchmark, store, text, key)[1].select(F.col("__id").alias(own), F.col("__hash").alias(hashed)))
     return docs.join(found, F.col(key).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text)) == F.col(hashed)), "left_anti")
