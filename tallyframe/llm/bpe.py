@@ -21,6 +21,17 @@ PLAIN_ONLY = re.compile("[^\x00-\x1b\x20-\x84\x86-\u058e]")
 TABLE_LIMIT = 800_000
 
 
+def plain_pattern() -> str:
+    """``PATTERN`` with its classes spelled out as ranges up to U+058E, for the standard library's faster matcher."""
+    found = PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\s\L\N]").replace(r"\p{L}", r"[\L]").replace(r"\p{N}", r"[\N]")
+    for name in "LN":
+        members = [c for c in range(0x58F) if regex.match(rf"\p{{{name}}}", chr(c))]
+        starts = [c for c in members if c - 1 not in members]
+        ends = [c for c in members if c + 1 not in members]
+        found = found.replace(rf"\{name}", "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in zip(starts, ends, strict=True)))
+    return found
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable character that byte-level vocabularies write for each byte."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -55,7 +66,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.find = regex.compile(PATTERN).findall
+        self.find = re.compile(plain_pattern()).findall
         self.table = PieceTable(self.tokenizer.model, self.pack)
 
     def pack(self, ids: list[int]) -> bytes:

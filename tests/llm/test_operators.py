@@ -1,6 +1,7 @@
 """Every operator against brute force on a small table with every odd case."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 import corpus_pipeline
 from tallyframe.llm import bpe, components, decontam, exact_dedup, line_dedup, minhash, packing, sstable, substring_dedup, token_counts, toxicity, url_filter, words
@@ -38,6 +40,15 @@ def test_encoder_equals_library():
     assert enc.encode(odd) == [enc.whole(t) for t in odd]
 
 
+def test_plain_pattern_equals_library_classes():
+    plain = [chr(c) for c in range(0x58F) if not bpe.PLAIN_ONLY.search(chr(c))]
+    rng, want, got = random.Random(5), regex.compile(bpe.PATTERN).findall, re.compile(bpe.plain_pattern()).findall
+    texts = [f"a{c} {c}{c}1{c}  {c}" for c in plain] + ["".join(rng.choices(plain + [" ", "'s", "\n"] * 200, k=300)) for _ in range(200)]
+    assert all(got(t) == want(t) for t in texts)
+    enc = bpe.encoder(bpe.vocabulary())
+    assert enc.encode(texts) == [enc.whole(t) for t in texts]
+
+
 def test_packing_round_trip(spark, docs, empty):
     out = packing.pack(docs, bpe.vocabulary(), window=64).collect()
     want = Counter((d, tuple(ids_of(t, 0))) for d, t in docs.select("doc_id", "text").collect())
