@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 import regex
 
 #: Fixed value: the byte-level pre-token pattern of the 50k vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PLAIN_ONLY = re.compile("[^\x00-\x1b\x20-\x84\x86-\u058e]")
+#: Unassigned characters are left out: what they count as depends on the library's Unicode version.
+UNSURE = "".join(chr(c) for c in range(0x58F) if unicodedata.category(chr(c)) == "Cn")
+PLAIN_ONLY = re.compile(f"[^\x00-\x1b\x20-\x84\x86-\u058e]|[{UNSURE}]")
 TABLE_LIMIT = 800_000
 
 
