@@ -22,6 +22,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 UNSURE = "".join(chr(c) for c in range(0x58F) if unicodedata.category(chr(c)) == "Cn")
 PLAIN_ONLY = re.compile(f"[^\x00-\x1b\x20-\x84\x86-\u058e]|[{UNSURE}]")
 TABLE_LIMIT = 800_000
+#: Of pre-tokens at up to two bytes a character and their ids; those of ordinary prose stay far below.
+TABLE_BYTES = 64 << 20
 
 
 def plain_pattern() -> str:
@@ -47,13 +49,18 @@ class PieceTable(dict):
 
     def __init__(self, model, pack):
         super().__init__()
-        self.model, self.pack, self.letters = model, pack, byte_alphabet()
+        self.model, self.pack, self.letters, self.held = model, pack, byte_alphabet(), 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= TABLE_LIMIT:
-            self.clear()
         spelled = piece.encode().decode("latin-1").translate(self.letters)
-        self[piece] = found = self.pack([t.id for t in self.model.tokenize(spelled)])
+        found = self.pack([t.id for t in self.model.tokenize(spelled)])
+        size = 2 * len(piece) + len(found)
+        if len(self) >= TABLE_LIMIT or self.held + size > TABLE_BYTES:
+            self.clear()
+            self.held = 0
+        if size <= TABLE_BYTES:
+            self[piece] = found
+            self.held += size
         return found
 
 

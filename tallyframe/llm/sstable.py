@@ -26,6 +26,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ FOOTER = struct.Struct("<QQQQQQII8s")  # index, filter, end, docs, ids, hashes,
 ENTRY = struct.Struct("<BBI")
 BLOCK_BYTES = 256 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Beside its text, a row counts so many bytes towards a shard, so that short and null texts fill shards too.
+ROW_BYTES = 64
 MANIFEST = "shard long, uri string, n_docs long, n_ids long, first_key binary, last_key binary, n_bytes long"
 
 
@@ -55,25 +58,30 @@ def key_value(key: bytes) -> int | None:
     return struct.unpack(">Q", key[1:])[0] - (1 << 63) if key else None
 
 
-def _bloom_places(keys: list[bytes], bits: int) -> np.ndarray:
-    pair = np.array([(zlib.crc32(k), zlib.crc32(k, 0x9E3779B9)) for k in keys], np.uint64).reshape(-1, 2)
-    return (pair[:, :1] + (pair[:, 1:] | np.uint64(1)) * np.arange(BLOOM_HASHES, dtype=np.uint64)) % np.uint64(bits)
+def _hashes(key: bytes) -> tuple[int, int]:
+    return zlib.crc32(key), zlib.crc32(key, 0x9E3779B9)
+
+
+def _bloom_places(pairs, bits: int) -> np.ndarray:
+    """Places in the filter of keys whose two hashes stand one after another."""
+    pair = np.array(pairs, np.uint64).reshape(-1, 2)
+    return ((pair[:, :1] + (pair[:, 1:] | np.uint64(1)) * np.arange(BLOOM_HASHES, dtype=np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
 class Writer:
-    """Streams entries to a shard; memory holds one block, the index and the keys."""
+    """Streams entries to a shard; memory holds one block, the index and eight bytes a key."""
 
     def __init__(self, stream, width: int):
         self.out, self.width, self.at = stream, width, 0
         self.block, self.last = bytearray(), None
         self.index: list[tuple[bytes, int, int]] = []
         self.first_of_block = b""
-        self.keys: list[bytes] = []
-        self.n_ids = 0
+        self.hashes, self.newest = array("I"), b""
+        self.n_docs = self.n_ids = 0
         self.zip = zstandard.ZstdCompressor(level=1)
 
     def add(self, key: bytes, ids: bytes) -> None:
-        if self.keys and key < self.keys[-1]:
+        if self.n_docs and key < self.newest:
             raise ValueError("keys must ascend")
         shared = 0
         if self.last is None:
@@ -82,8 +90,9 @@ class Writer:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
         self.block += ENTRY.pack(shared, len(key) - shared, len(ids)) + key[shared:] + ids
-        self.last = key
-        self.keys.append(key)
+        self.last = self.newest = key
+        self.hashes.extend(_hashes(key))
+        self.n_docs += 1
         self.n_ids += len(ids) // self.width
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
@@ -105,13 +114,13 @@ class Writer:
         index = b"".join(struct.pack("<BQI", len(k), at, size) + k for k, at, size in self.index)
         self._write(index)
         filter_at = self.at
-        bits = max(64, -(-len(self.keys) * BLOOM_BITS // 8) * 8)
+        bits = max(64, -(-self.n_docs * BLOOM_BITS // 8) * 8)
         bloom = np.zeros(bits, np.uint8)
-        if self.keys:
-            bloom[_bloom_places(self.keys, bits).ravel().astype(np.int64)] = 1
+        for lo in range(0, len(self.hashes), 1 << 15):
+            bloom[_bloom_places(self.hashes[lo : lo + (1 << 15)], bits)] = 1
         packed = np.packbits(bloom).tobytes()
         self._write(packed)
-        self._write(FOOTER.pack(index_at, filter_at, self.at, len(self.keys), self.n_ids, BLOOM_HASHES, self.width, zlib.crc32(index + packed), MAGIC))
+        self._write(FOOTER.pack(index_at, filter_at, self.at, self.n_docs, self.n_ids, BLOOM_HASHES, self.width, zlib.crc32(index + packed), MAGIC))
         return self.at
 
 
@@ -128,7 +137,7 @@ class Reader:
         rest = file.read(self.end - self.index_at)
         if zlib.crc32(rest) != crc:
             raise ValueError("shard is damaged")
-        index, self.bloom = rest[: self.filter_at - self.index_at], np.unpackbits(np.frombuffer(rest[self.filter_at - self.index_at :], np.uint8))
+        index, self.bloom = rest[: self.filter_at - self.index_at], np.frombuffer(rest[self.filter_at - self.index_at :], np.uint8)
         self.first, self.place, at = [], [], 0
         while at < len(index):
             n, start, length = struct.unpack_from("<BQI", index, at)
@@ -158,7 +167,8 @@ class Reader:
         """Ids of every entry with this key: filter, binary search, block scan."""
         from bisect import bisect_left
 
-        if not self.n_docs or not self.bloom[_bloom_places([key], len(self.bloom)).astype(np.int64)].all():
+        places = _bloom_places(_hashes(key), 8 * len(self.bloom))
+        if not self.n_docs or not (self.bloom[places >> 3] & (128 >> (places & 7))).all():
             return []
         found = []
         for at in range(max(0, bisect_left(self.first, key) - 1), len(self.place)):
@@ -183,7 +193,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, text: str = "
     ship(spark)
     store = Scratch(spark, "sstable")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    nbytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    nbytes = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(ROW_BYTES))).first()[0] or 0
     folder = store.path("shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +211,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, text: str = "
         if writer is not None:
             size = writer.finish()
             stream.close()
-            yield pa.RecordBatch.from_pylist([{"shard": pid, "uri": uri, "n_docs": len(writer.keys), "n_ids": writer.n_ids, "first_key": first, "last_key": writer.keys[-1], "n_bytes": size}], schema=pa.schema([("shard", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("n_bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"shard": pid, "uri": uri, "n_docs": writer.n_docs, "n_ids": writer.n_ids, "first_key": first, "last_key": writer.newest, "n_bytes": size}], schema=pa.schema([("shard", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("n_bytes", pa.int64())]))
 
     ordered = rows.repartitionByRange(partitions_for(spark, nbytes, target_mb), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return store.keep(ordered.mapInArrow(run, MANIFEST), "manifest")

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,14 @@ def test_plain_pattern_equals_library_classes():
     assert enc.encode(texts) == [enc.whole(t) for t in texts]
 
 
+def test_piece_table_is_bounded_by_bytes():
+    table = bpe.PieceTable(SimpleNamespace(tokenize=lambda spelled: [SimpleNamespace(id=len(spelled))]), lambda ids: ids[0].to_bytes(4, "little"))
+    for n in range(1 << 20, (1 << 20) + 80):
+        assert table["x" * n] == n.to_bytes(4, "little")
+        assert sum(2 * len(piece) + len(ids) for piece, ids in table.items()) <= 64 << 20
+    assert table["x" * (40 << 20)] == (40 << 20).to_bytes(4, "little") and len(table) < 80
+
+
 def test_packing_round_trip(spark, docs, empty):
     out = packing.pack(docs, bpe.vocabulary(), window=64).collect()
     want = Counter((d, tuple(ids_of(t, 0))) for d, t in docs.select("doc_id", "text").collect())
@@ -111,6 +121,32 @@ def test_sstable_blocks_and_damage(tmp_path):
         sstable.open_shard(str(path))
 
 
+def test_sstable_of_many_short_texts(spark):
+    shards = sstable.write_shards(spark.range(100_000).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text"), bpe.vocabulary(), target_mb=1)
+    counts = [r.n_docs for r in shards.select("n_docs").collect()]
+    assert sum(counts) == 100_000 and max(counts) < 20_000
+    got = sstable.read_shards(shards).selectExpr("count(DISTINCT doc_id) AS docs", "sum(n_tokens) AS ids", "max(start) AS last").first()
+    assert (got.docs, got.ids, got.last) == (100_000, 100_000, 99_999)
+
+
+def test_sstable_writer_of_many_keys(tmp_path):
+    keys = [sstable.key_bytes(i) for i in range(0, 400_000, 2)]
+    tracemalloc.start()
+    with open(tmp_path / "x.sst", "wb") as out:
+        writer, before = sstable.Writer(out, 2), tracemalloc.get_traced_memory()[0]
+        for key in keys:
+            writer.add(key, b"\2\0")
+        writer.finish()
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    reader = sstable.open_shard(str(tmp_path / "x.sst"))
+    assert all(reader.get(key) == [b"\2\0"] for key in keys[::9999])
+    # ten bits a key and seven hashes let about one absent key in a hundred through
+    places = np.array([sstable._bloom_places(sstable._hashes(sstable.key_bytes(i)), 8 * len(reader.bloom)) for i in range(1, 4001, 2)]).reshape(2000, -1)
+    assert ((reader.bloom[places >> 3] & (128 >> (places & 7))) > 0).all(axis=1).mean() < 0.03
+
+
 def test_token_counts(docs, empty):
     got = {r.doc_id: r for r in token_counts.token_counts(docs, bpe.vocabulary()).collect()}
     for d, t in docs.select("doc_id", "text").collect():
